@@ -77,24 +77,29 @@ def _take(pairs: DataFrame, block: Sequence[str]) -> DataFrame:
     return pairs.select(*block, "left_name", "right_name", "score")
 
 
-def _equal_names(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
-    """Pairs of names that are the same after normalisation, zipped by rank.
+def _alias_pairs(names: DataFrame, block: list[str], aliases: dict[str, str]) -> DataFrame:
+    target = F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), F.col("name"))
+    wanted = names.where("is_left").select(*block, F.col("name").alias("left_name"), target.alias("right_name"))
+    known = names.where("NOT is_left").select(*block, F.col("name").alias("right_name"))
+    return _take(wanted.join(known, [*block, "right_name"]).withColumn("score", F.lit(1.0)), block)
 
-    The first pair of a group comes from two minima; ranks are only worked out for groups that hold
-    several spellings on both sides.
-    """
+
+def _without(names: DataFrame, pairs: DataFrame, block: list[str]) -> DataFrame:
+    """Names not used in ``pairs`` on their own side."""
+    used = pairs.select(*block, F.inline(F.array(
+        F.struct(F.col("left_name").alias("name"), F.lit(True).alias("is_left")),
+        F.struct(F.col("right_name").alias("name"), F.lit(False).alias("is_left")))))
+    return names.join(used, [*block, "name", "is_left"], "left_anti")
+
+
+def _zipped(names: DataFrame, several: DataFrame, block: list[str]) -> DataFrame:
+    """Groups with several spellings on both sides: paired by rank."""
     same = [*block, "joined"]
-    l = left.groupBy(*same).agg(F.min("left_name").alias("left_name"), F.count(F.lit(1)).alias("_nl"))
-    r = right.groupBy(*same).agg(F.min("right_name").alias("right_name"), F.count(F.lit(1)).alias("_nr"))
-    groups = materialize(l.join(r, same).withColumn("score", F.lit(1.0)))
-    several = groups.where((F.col("_nl") > 1) & (F.col("_nr") > 1)).select(*same)
-    if several.isEmpty():
-        return _take(groups, block)
-    ranked = [
-        dense_index(df.join(several, same, "left_semi").select(*same, name), same, name, "_rank")
-        for df, name in ((left, "left_name"), (right, "right_name"))]
-    zipped = ranked[0].join(ranked[1], [*same, "_rank"]).withColumn("score", F.lit(1.0))
-    return _take(groups.join(several, same, "left_anti"), block).unionByName(_take(zipped, block))
+    members = names.join(several, same, "left_semi")
+    sides = [
+        dense_index(members.where(F.col("is_left") == left).select(*same, F.col("name").alias(c)), same, c, "_rank")
+        for left, c in ((True, "left_name"), (False, "right_name"))]
+    return _take(sides[0].join(sides[1], [*same, "_rank"]).withColumn("score", F.lit(1.0)), block)
 
 
 def match_names(left: DataFrame, right: DataFrame, block: Sequence[str], threshold: float = 0.40,
@@ -102,28 +107,33 @@ def match_names(left: DataFrame, right: DataFrame, block: Sequence[str], thresho
     """Block columns, left_name, right_name, score. Inputs: block columns and left_name / right_name."""
     block = list(block)
     aliases = ALIASES if aliases is None else aliases
-    free_l = materialize(normalize_names(left.select(*block, "left_name").distinct(), "left_name"))
-    free_r = materialize(normalize_names(right.select(*block, "right_name").distinct(), "right_name"))
+    stacked = left.select(*block, F.col("left_name").alias("name"), F.lit(True).alias("is_left")).unionByName(
+        right.select(*block, F.col("right_name").alias("name"), F.lit(False).alias("is_left"))).distinct()
+    names = materialize(normalize_names(stacked.where("name IS NOT NULL"), "name"))
     found = []
 
-    if aliases:
-        pairs = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-        aliased = _take(
-            free_l.withColumn("right_name", F.try_element_at(pairs, F.col("left_name"))).where("right_name IS NOT NULL")
-            .join(free_r.select(*block, "right_name"), [*block, "right_name"]).withColumn("score", F.lit(1.0)), block)
-        found.append(aliased)
-        free_l = free_l.join(aliased, [*block, "left_name"], "left_anti")
-        free_r = free_r.join(aliased, [*block, "right_name"], "left_anti")
-
-    free_l, free_r = (df.where(F.size("tokens") > 0) for df in (free_l, free_r))
-    equal = materialize(_equal_names(free_l, free_r, block))
+    if aliases and not names.where(F.col("is_left") & F.col("name").isin(list(aliases))).isEmpty():
+        found.append(materialize(_alias_pairs(names, block, aliases)))
+        names = _without(names, found[0], block)
+
+    names = names.where(F.size("tokens") > 0)
+    l, r = F.when(F.col("is_left"), F.col("name")), F.when(~F.col("is_left"), F.col("name"))
+    groups = materialize(names.groupBy(*block, "joined").agg(
+        F.min(l).alias("left_name"), F.count(l).alias("_nl"), F.min(r).alias("right_name"), F.count(r).alias("_nr")))
+    many = (F.col("_nl") > 1) & (F.col("_nr") > 1)
+    paired = F.least("_nl", "_nr")
+    left_over = groups.agg(
+        F.sum(F.col("_nl") - paired).alias("l"), F.sum(F.col("_nr") - paired).alias("r"),
+        F.count_if(many).alias("several")).first()
+    equal = _take(groups.where(~many & (F.col("_nl") > 0) & (F.col("_nr") > 0)).withColumn("score", F.lit(1.0)), block)
+    if left_over["several"]:
+        equal = materialize(equal.unionByName(_zipped(names, groups.where(many), block)))
     found.append(equal)
-
-    rest_l = free_l.join(equal, [*block, "left_name"], "left_anti").withColumnRenamed("left_name", "name")
-    rest_r = free_r.join(equal, [*block, "right_name"], "left_anti").withColumnRenamed("right_name", "name")
-    if rest_l.isEmpty() or rest_r.isEmpty():
+    if not (left_over["l"] and left_over["r"]):
         return reduce(DataFrame.unionByName, found)
-    scored = candidate_pairs(rest_l, rest_r, block, threshold).select(
+
+    rest = _without(names, equal, block)
+    scored = candidate_pairs(rest.where("is_left"), rest.where("NOT is_left"), block, threshold).select(
         *block, F.col("l_name").alias("left_name"), F.col("r_name").alias("right_name"),
         name_similarity("l_tokens", "l_joined", "r_tokens", "r_joined").alias("score"))
     open_pairs = materialize(scored.where(F.col("score") >= threshold))
