@@ -6,7 +6,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from touchline.functions.scalars import col
 
@@ -20,7 +20,7 @@ STOPWORDS = [
 ALIASES = {"PSG": "Paris Saint-Germain", "RBL": "RB Leipzig"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(names: pd.Series) -> pd.Series:
     def fold(s):
         if s is None:
@@ -30,7 +30,7 @@ def fold_accents(names: pd.Series) -> pd.Series:
     return names.map(fold)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from touchline.functions.names import ALIASES, name_similarity, normalize_names
 from touchline.operators.ordering import dense_index
@@ -26,7 +26,7 @@ from touchline.session import materialize
 _RANK = {c: i for i, c in enumerate("0123456789qxjzwkvfybhgpmucdltoirnsae")}
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _letters(joined: pd.Series) -> pd.Series:
     """Each letter with its occurrence number ('a1', 'a2'), rare letters first: a multiset as a set."""
     def numbered(text):

@@ -70,8 +70,8 @@ def prior_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], tra
                  recent: tuple[str, str, int] | None = None, max_group_rows: int = 2_000_000) -> DataFrame:
     """``rows`` plus, for each tracker group, the prior count and the prior averages (null when unset).
 
-    ``recent`` = (column, output, n) adds the last n prior values of a column, oldest first.
-    ``order`` must be a total order inside a key.
+    ``recent`` = (column, prefix, n) adds the last n prior values of a column as prefix_1 (latest) to
+    prefix_n. ``order`` must be a total order inside a key.
     """
     hot_keys = rows.groupBy(*keys).count().where(F.col("count") > max_group_rows).select(*keys)
     if hot_keys.isEmpty():
@@ -84,12 +84,12 @@ def prior_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], tra
 
 def _by_key(rows, keys, order, trackers, recent):
     """All windows refine the partitioning by key, so one shuffle serves them all."""
-    out = rows
-    base = Window.partitionBy(*keys).orderBy(*order)
+    base = {}
     if recent:
-        column, name, n = recent
-        out = out.withColumn(name, F.collect_list(column).over(base.rowsBetween(-n, -1)))
-    out = out.withColumns({
+        column, prefix, n = recent
+        by_key = Window.partitionBy(*keys).orderBy(*order)
+        base = {f"{prefix}_{i}": F.lag(column, i).over(by_key) for i in range(1, n + 1)}
+    out = rows.withColumns(base | {
         t.count: F.count(F.when(t.observed, 1)).over(
             Window.partitionBy(*keys, *t.by).orderBy(*order).rowsBetween(*_BEFORE))
         for t in trackers
@@ -100,7 +100,7 @@ def _by_key(rows, keys, order, trackers, recent):
         out = out.withColumns({"_b": block, "_j": j})
         inside = Window.partitionBy(*keys, *t.by, "_b").orderBy(*order).rowsBetween(*_BEFORE)
         across = Window.partitionBy(*keys, *t.by).orderBy("_b", *order).rowsBetween(*_BEFORE)
-        power = F.pow(q, F.col("_j").cast("double"))
+        power = F.pow(q, F.col("_j"))
         sums = {f"_s_{o}": F.coalesce(F.sum(_scaled(t, v, k, F.col("_j"))).over(inside), F.lit(0.0))
                 for o, v in t.values.items()}
         out = out.withColumns(sums)
@@ -132,10 +132,12 @@ def _by_chunk(rows, keys, order, trackers, recent, chunk_rows):
         left, right = out.alias("l"), states.alias("r")
         match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
         match.append(F.col(f"l.{t.count}") == F.col("r._k"))
-        produced = [recent[1]] if t.count == "_seen" else list(t.values)
+        produced = ["_recent"] if t.count == "_seen" else list(t.values)
         out = left.join(right, match, "left").select("l.*", *[F.col(f"r.{c}") for c in produced])
     if recent:
-        out = out.withColumn(recent[1], F.coalesce(F.col(recent[1]), F.array())).drop("_seen")
+        _, prefix, n = recent
+        out = out.withColumns({
+            f"{prefix}_{i}": F.try_element_at("_recent", F.lit(-i)) for i in range(1, n + 1)}).drop("_seen", "_recent")
     return out.drop("_at", "_chunk")
 
 
@@ -180,7 +182,7 @@ def _states(rows: DataFrame, keys: list[str], t: Trackers, recent) -> DataFrame:
     states = {o: power * F.coalesce(F.col(f"_c_{o}"), F.lit(0.0)) + F.col(o) for o in t.values}
     if recent:
         both = F.concat(F.coalesce(F.col("_c__list"), F.array()), F.col("_list"))
-        states[recent[1]] = F.slice(both, F.greatest(F.size(both) - recent[2] + 1, F.lit(1)), recent[2])
+        states["_recent"] = F.slice(both, F.greatest(F.size(both) - recent[2] + 1, F.lit(1)), recent[2])
     return joined.select(*keys, (F.col(t.count) + 1).alias("_k"), *[c.alias(o) for o, c in states.items()])
 
 

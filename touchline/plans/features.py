@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -133,26 +136,31 @@ def new_to_season(rows: DataFrame, debuts: DataFrame) -> DataFrame:
     ).drop("_prev", "_debut")
 
 
-def date_features(cfg: FeatureConfig, recent: str = "recent_dates", date: str = "date") -> dict[str, Column]:
-    """Rest days and congestion from the last few prior dates."""
-    days = F.transform(recent, lambda d: whole_days(d, F.col(date)))
-    last = F.try_element_at(days, F.lit(-1))
-    inside = F.filter(days, lambda n: (n >= 0) & (n <= cfg.congestion_window_days))
+def date_features(cfg: FeatureConfig, previous: Sequence[Column], date: str = "date") -> dict[str, Column]:
+    """Rest days and congestion from the last few prior dates, latest first; null where there are fewer."""
+    def counted(d: Column) -> Column:
+        days = whole_days(d, date)
+        return F.when((days >= 0) & (days <= cfg.congestion_window_days), 1.0).otherwise(0.0)
+
+    rest = clamp(whole_days(previous[0], date).cast("double"), 0.0, cfg.max_rest_days)
     return {
-        "rest_days": F.coalesce(
-            clamp(last.cast("double"), 0.0, cfg.max_rest_days), F.lit(cfg.default_rest_days)),
-        "congestion14": F.size(inside).cast("double"),
+        "rest_days": F.coalesce(rest, F.lit(cfg.default_rest_days)),
+        "congestion14": reduce(add, [counted(d) for d in previous]),
     }
 
 
+def _previous_dates(cfg: FeatureConfig) -> list[Column]:
+    return [F.col(f"prev_{i}") for i in range(1, cfg.congestion_memory + 1)]
+
+
 def side_features(rows: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The 17 per-side features of each team row, from strictly prior matches."""
     prior = prior_states(rows, ["team"], ["row_idx"], trackers(cfg),
-                         ("date", "recent_dates", cfg.congestion_memory), cfg.max_group_rows)
+                         ("date", "prev", cfg.congestion_memory), cfg.max_group_rows)
     flagged = new_to_season(prior, season_debuts(rows))
     emas = {o: cold_start(o) for t in trackers(cfg) for o in t.values}
     return flagged.withColumns({
-        **emas, **date_features(cfg),
+        **emas, **date_features(cfg, _previous_dates(cfg)),
         "played": F.col("played").cast("double"), "venue_played": F.col("venue_played").cast("double"),
         "ws_cov": (F.col("ws_played") > 0).cast("double"),
     }).select("row_idx", "team", "is_home", *PER_SIDE)
@@ -275,13 +283,13 @@ def team_state(matches: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Data
     )
     both = rows.withColumn("closing", F.lit(False)).unionByName(closing, allowMissingColumns=True)
     prior = prior_states(both, ["team"], ["row_idx"], trackers(cfg),
-                         ("date", "recent_dates", cfg.congestion_memory), cfg.max_group_rows).where("closing")
+                         ("date", "prev", cfg.congestion_memory), cfg.max_group_rows).where("closing")
     whole = ("gf_ema", "ga_ema", "pts_ema", "sot_ema", "shots_ema", "shots_against_ema", "box_shots_ema",
              "deep_comp_ema")
     at = {v: F.col("is_home") == v for v in (True, False)}
     snapshot = prior.groupBy("team").agg(
         F.max("played").alias("played"), F.max("ws_played").alias("ws_played"),
-        F.max("last_date").alias("last_date"), F.max("recent_dates").alias("recent_dates"),
+        F.max("last_date").alias("last_date"), F.max(F.array_compact(F.array(*_previous_dates(cfg)))).alias("recent_dates"),
         *[F.max(c).alias(c) for c in whole],
         *[F.max(F.when(at[v], F.col(f"venue_{c}"))).alias(f"{side}_{c}")
           for side, v in (("home", True), ("away", False)) for c in ("gf_ema", "ga_ema", "pts_ema", "played")])
@@ -333,8 +341,8 @@ def peek_features(fixtures: DataFrame, known: History, cfg: FeatureConfig = Feat
             "deep_comp_ema")}
         venue = {f"{p}_venue_{c}": cold_start(F.col(f"_{p}_{side}_{c}").cast("double"))
                  for c in ("gf_ema", "ga_ema", "pts_ema", "played")}
-        dates = {f"{p}_{k}": v for k, v in date_features(cfg, f"_{p}_dates").items()}
-        out = out.withColumn(f"_{p}_dates", F.coalesce(f"_{p}_recent_dates", F.array().cast("array<timestamp_ntz>")))
+        previous = [F.get(f"_{p}_recent_dates", F.lit(i)) for i in range(cfg.congestion_memory)]
+        dates = {f"{p}_{k}": v for k, v in date_features(cfg, previous).items()}
         out = out.withColumns({
             **plain, **venue, **dates,
             f"{p}_played": cold_start(F.col(f"_{p}_played").cast("double")),

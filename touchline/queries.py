@@ -625,9 +625,9 @@ def training_export(spark, sf):
 @query
 def goal_rate_scores(spark, sf):
     parts = _splits(spark, sf)
-    fitted = tr.fit(parts["train"], ModelConfig(ensemble=2, seed=1))
+    fitted = tr.fit(parts["train"], ModelConfig(ensemble=2, seed=1), with_stats=False)
     return rounded(tr.predict(fitted, parts["test"]).select(
-        "row_idx", "label", "rate_home", "rate_away", *mt.PROBS, "pred_home_sot", "pred_away_sot"))
+        "row_idx", "label", "rate_home", "rate_away", *mt.PROBS))
 
 
 @query
