@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from touchline.operators.ordering import row_index
+from touchline.session import materialize
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -120,16 +121,16 @@ def _by_key(rows, keys, order, trackers, recent):
 
 def _by_chunk(rows, keys, order, trackers, recent, chunk_rows):
     keys = list(keys)
-    out = row_index(rows, [*keys, *order], "_at").withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_rows)))
-    groups = list(trackers)
-    if recent:
-        groups = [Trackers({}, "_seen"), *groups]
-    for t in groups:
-        out = _prior_count(out, [*keys, *t.by], t)
+    base = row_index(rows, [*keys, *order], "_at").withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_rows)))
+    groups = [Trackers({}, "_seen"), *trackers] if recent else list(trackers)
+    counted = base
+    for by in dict.fromkeys(t.by for t in groups):
+        counted = _prior_counts(counted, base, [*keys, *by], [t for t in groups if t.by == by])
+    counted = materialize(counted)  # several steps read it
+    out = counted
     for t in groups:
-        states = _states(out, [*keys, *t.by], t, recent if t.count == "_seen" else None)
         on = [*keys, *t.by]
-        left, right = out.alias("l"), states.alias("r")
+        left, right = out.alias("l"), _states(counted, on, t, recent if t.count == "_seen" else None).alias("r")
         match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
         match.append(F.col(f"l.{t.count}") == F.col("r._k"))
         produced = ["_recent"] if t.count == "_seen" else list(t.values)
@@ -145,19 +146,19 @@ def _observed(t: Trackers) -> Column:
     return t.observed if t.values else F.lit(True)
 
 
-def _prior_count(rows: DataFrame, keys: list[str], t: Trackers) -> DataFrame:
+def _prior_counts(rows: DataFrame, base: DataFrame, keys: list[str], trackers: Sequence[Trackers]) -> DataFrame:
     """Prior observations of the key: inside the chunk by a window, before it from the chunk totals."""
-    seen = F.when(_observed(t), 1)
-    totals = rows.groupBy(*keys, "_chunk").agg(F.count(seen).alias("_n")).withColumn(
-        "_before", F.coalesce(
-            F.sum("_n").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)), F.lit(0)))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
+    totals = base.groupBy(*keys, "_chunk").agg(
+        *[F.count(F.when(_observed(t), 1)).alias(f"_n_{t.count}") for t in trackers]
+    ).withColumns({
+        f"_n_{t.count}": F.coalesce(F.sum(f"_n_{t.count}").over(earlier), F.lit(0)) for t in trackers})
     left, right = rows.alias("l"), totals.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, "_chunk"]]
-    local = F.count(seen).over(Window.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(*_BEFORE))
-    return (
-        left.join(right, on).select("l.*", "r._before")
-        .withColumn(t.count, F.col("_before") + local).drop("_before")
-    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(*_BEFORE)
+    return left.join(right, on).select("l.*", *[f"r._n_{t.count}" for t in trackers]).withColumns({
+        t.count: F.col(f"_n_{t.count}") + F.count(F.when(_observed(t), 1)).over(inside) for t in trackers
+    }).drop(*[f"_n_{t.count}" for t in trackers])
 
 
 def _states(rows: DataFrame, keys: list[str], t: Trackers, recent) -> DataFrame:
