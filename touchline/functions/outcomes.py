@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, functions as F
 
 from touchline.functions.scalars import col
@@ -71,46 +75,39 @@ def grid_outcomes(grid: Column | str) -> tuple[Column, Column, Column]:
 def outcome_probs(df, rate_home: str, rate_away: str, rho: str | None = None, max_goals: int = 10):
     """Adds p_home, p_draw, p_away without building the (G+1) x (G+1) grid per row.
 
-    Only four cells carry the correction, so the masses come from the two marginals, one running sum
-    over k and the four corrected cells; each row costs O(G) instead of O(G^2).
+    Only four cells carry the correction, so the masses come from the two marginals, their running sums
+    and those cells: plain columns that stay inside generated code, O(G) per row instead of O(G^2).
     """
-    g = max_goals
-    out = df.withColumns({"_h": poisson_pmf(rate_home, g), "_a": poisson_pmf(rate_away, g)})
-    h = [F.get("_h", F.lit(k)) for k in range(g + 1)]
-    a = [F.get("_a", F.lit(k)) for k in range(g + 1)]
-    steps = F.array(*[F.lit(k) for k in range(g + 1)])
-    state = F.aggregate(
-        steps,
-        F.struct(F.lit(0.0).alias("ch"), F.lit(0.0).alias("ca"),
-                 F.lit(0.0).alias("home"), F.lit(0.0).alias("draw"), F.lit(0.0).alias("away")),
-        lambda s, k: F.struct(
-            (s["ch"] + F.get("_h", k)).alias("ch"),
-            (s["ca"] + F.get("_a", k)).alias("ca"),
-            (s["home"] + F.get("_h", k) * s["ca"]).alias("home"),
-            (s["draw"] + F.get("_h", k) * F.get("_a", k)).alias("draw"),
-            (s["away"] + F.get("_a", k) * s["ch"]).alias("away"),
-        ),
-    )
-    out = out.withColumn("_mass", state)
-    if rho is None:
-        shift = {"home": F.lit(0.0), "draw": F.lit(0.0), "away": F.lit(0.0)}
-    else:
-        r = bounded_rho(rho)
-        lh, la = (F.greatest(F.col(c), F.lit(RATE_FLOOR)) for c in (rate_home, rate_away))
-
-        def change(i: int, j: int, factor: Column) -> Column:
-            return h[i] * a[j] * (F.greatest(F.lit(0.0), factor) - 1.0)
-
-        shift = {
-            "draw": change(0, 0, 1.0 - lh * la * r) + change(1, 1, 1.0 - r),
-            "away": change(0, 1, 1.0 + lh * r),
-            "home": change(1, 0, 1.0 + la * r),
-        }
-    out = out.withColumns({f"_{k}": F.col(f"_mass.{k}") + v for k, v in shift.items()})
-    total = F.greatest(F.col("_home") + F.col("_draw") + F.col("_away"), F.lit(RATE_FLOOR))
-    return out.withColumns({
-        "p_home": F.col("_home") / total, "p_draw": F.col("_draw") / total, "p_away": F.col("_away") / total,
-    }).drop("_h", "_a", "_mass", "_home", "_draw", "_away")
+    if not 1 <= max_goals <= 20:
+        raise ValueError("max_goals must lie between 1 and 20")
+    steps = range(max_goals + 1)
+    out = df.withColumns({"_lh": F.greatest(F.col(rate_home), F.lit(RATE_FLOOR)),
+                          "_la": F.greatest(F.col(rate_away), F.lit(RATE_FLOOR))})
+    lh, la = F.col("_lh"), F.col("_la")
+    out = out.withColumns({"_nh": F.log(lh), "_na": F.log(la), "_r": bounded_rho(rho)})
+    out = out.withColumns({
+        f"_{s}{k}": F.exp(F.lit(float(k)) * F.col(f"_n{s}") - F.col(f"_l{s}") - F.lit(math.lgamma(k + 1)))
+        for s in "ha" for k in steps})
+    h, a = ([F.col(f"_{s}{k}") for k in steps] for s in "ha")
+    draw = reduce(add, (h[k] * a[k] for k in steps))
+    cum = {f"_c{s}{k}": reduce(add, p[: k + 1]) for s, p in (("h", h), ("a", a)) for k in steps[:-1]}
+    out = out.withColumns({**cum, "_draw": draw})
+    home = reduce(add, (h[k] * F.col(f"_ca{k - 1}") for k in steps[1:]))
+    away = reduce(add, (a[k] * F.col(f"_ch{k - 1}") for k in steps[1:]))
+    r = F.col("_r")
+
+    def change(i: int, j: int, factor: Column) -> Column:
+        return h[i] * a[j] * (F.greatest(F.lit(0.0), factor) - 1.0)
+
+    shift = {"_home": F.lit(0.0), "_draw": F.lit(0.0), "_away": F.lit(0.0)} if rho is None else {
+        "_home": change(1, 0, 1.0 + la * r),
+        "_draw": change(0, 0, 1.0 - lh * la * r) + change(1, 1, 1.0 - r),
+        "_away": change(0, 1, 1.0 + lh * r),
+    }
+    out = out.withColumns({
+        "_home": home + shift["_home"], "_draw": F.col("_draw") + shift["_draw"], "_away": away + shift["_away"]})
+    out = out.withColumn("_all", F.greatest(F.col("_home") + F.col("_draw") + F.col("_away"), F.lit(RATE_FLOOR)))
+    return out.select(*df.columns, *[(F.col(f"_{n}") / F.col("_all")).alias(f"p_{n}") for n in ("home", "draw", "away")])
 
 
 def clip_prob(p: Column) -> Column:

@@ -353,7 +353,7 @@ def peek_features(fixtures: DataFrame, known: History, cfg: FeatureConfig = Feat
         }).drop("_prev")
     pairs = out.withColumns({"pair_lo": F.least("home_team", "away_team"), "pair_hi": F.greatest("home_team", "away_team")})
     out = pairs.join(known.h2h_state, ["pair_lo", "pair_hi"], "left").withColumns({
-        "h2h_played": cold_start(F.least(F.col("met"), F.lit(cfg.h2h_played_cap)).cast("double")),
+        "h2h_played": F.least(F.coalesce("met", F.lit(0)), F.lit(cfg.h2h_played_cap)).cast("double"),
         "h2h_gd_ema": orient("home_team", "away_team", cold_start("gd_ema")), **differences()})
     if spans is not None:
         out = add_progress(out, spans)
