@@ -84,7 +84,9 @@ def outcome_probs(df, rate_home: str, rate_away: str, rho: str | None = None, ma
     out = df.withColumns({"_lh": F.greatest(F.col(rate_home), F.lit(RATE_FLOOR)),
                           "_la": F.greatest(F.col(rate_away), F.lit(RATE_FLOOR))})
     lh, la = F.col("_lh"), F.col("_la")
-    out = out.withColumns({"_nh": F.log(lh), "_na": F.log(la), "_r": bounded_rho(rho)})
+    # The logs are of positive numbers; saying that they are never null keeps the generated code short.
+    out = out.withColumns({"_nh": F.coalesce(F.log(lh), F.lit(0.0)), "_na": F.coalesce(F.log(la), F.lit(0.0)),
+                           "_r": F.coalesce(bounded_rho(rho), F.lit(0.0))})
     out = out.withColumns({
         f"_{s}{k}": F.exp(F.lit(float(k)) * F.col(f"_n{s}") - F.col(f"_l{s}") - F.lit(math.lgamma(k + 1)))
         for s in "ha" for k in steps})
