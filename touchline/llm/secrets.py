@@ -1,0 +1,123 @@
+"""Secrets in text: sure ones by their form, weak ones only where their other parts stand near by."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from touchline.llm.common import text_of
+
+#: Code points of a step of the scopes: a scope covers two steps and begins at every step.
+STEP = 256
+EMPTY = "CAST(array() AS array<struct<start:int,kind:int,end:int>>)"
+
+#: Kinds in the order of their names; the first three are reported wherever they stand.
+KINDS = ("assign", "access", "hex", "ident", "token", "endpoint")
+PATTERNS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]{12,}",
+    "hex": r"[0-9a-f]{32,}",
+    "ident": r"""(?i:username|user|login|account|client_id|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]+""",
+    "token": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}",
+    "endpoint": r"""(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|s3)://[^\x20\x09-\x0D"'<>]+""",
+}
+#: What every match holds: a cheap test that spares most texts the search.
+HOLDS = {"assign": "(contains({0}, '=') OR contains({0}, ':'))", "access": "contains({0}, 'AKIA')",
+         "ident": "(contains({0}, '=') OR contains({0}, ':'))", "token": "{0} RLIKE '[0-9]'", "endpoint": "contains({0}, '://')"}
+#: Parts of a credential: who, with what, where.
+ROLES = {"who": ("access", "ident"), "what": ("assign", "hex", "token"), "where": ("endpoint",)}
+#: What must stand in a common scope before a weak kind is reported.
+NEEDS = {"ident": ("what",), "token": ("who",), "endpoint": ("who", "what")}
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches(text: str, kind: str) -> Column:
+    """Leftmost non-overlapping matches of a kind in the column ``text``, as an array of (start, kind, end).
+
+    The text before each match is matched too, lazily, and so is the rest after the last one, so places are sums
+    of lengths in code points and every character is passed once.
+    """
+    pattern, number = PATTERNS[kind], KINDS.index(kind)
+    cut = _sql(rf"(?s)(.*?)(?:({pattern})|\z)")
+    value = f"regexp_extract_all({text}, {cut}, 3)" if kind == "assign" else f"regexp_extract_all({text}, {cut}, 2)"
+    pieces = f"arrays_zip(regexp_extract_all({text}, {cut}, 1), regexp_extract_all({text}, {cut}, 2), {value})"
+    pieces = (f"transform(filter({pieces}, x -> x.`1` <> ''), x -> named_struct('gap', length(x.`0`), "
+              f"'hit', length(x.`1`), 'value', x.`2`))")
+    tests = {"assign": "length(x.value) >= 8", "token": "x.value RLIKE '[A-Z]' AND x.value RLIKE '[a-z]'"}
+    added = (f"CASE WHEN {tests.get(kind, 'true')} THEN concat(a.found, array(named_struct('start', a.at + x.gap, 'kind', "
+             f"{number}, 'end', a.at + x.gap + x.hit))) ELSE a.found END")
+    fold = (f"aggregate({pieces}, named_struct('at', 0, 'found', {EMPTY}), "
+            f"(a, x) -> named_struct('at', a.at + x.gap + x.hit, 'found', {added}), a -> a.found)")
+    first = f"{HOLDS[kind].format(text)} AND " if kind in HOLDS else ""
+    return F.expr(f"CASE WHEN {first}{text} RLIKE {_sql(pattern)} THEN {fold} ELSE {EMPTY} END")
+
+
+def _among(kinds) -> str:
+    return ", ".join(str(KINDS.index(k)) for k in kinds)
+
+
+def linked(parts: str, step: int = STEP) -> Column:
+    """Of the found parts, the sure ones, and the weak ones whose complements share a scope with them.
+
+    Two parts share a scope when their starts lie in the same step or in neighbouring ones. The steps that hold
+    a role are listed once, so a part is joined to scopes, not to every other part of a long text.
+    """
+    steps = {r: f"array_distinct(transform(filter({parts}, p -> p.kind IN ({_among(k)})), p -> p.start div {step}))"
+             for r, k in ROLES.items()}
+
+    def near(role: str) -> str:
+        return " OR ".join(f"array_contains(s.{role}, p.start div {step} + {d}L)" for d in (-1, 0, 1))
+
+    rules = [f"(p.kind = {KINDS.index(k)} AND {' AND '.join(f'({near(r)})' for r in needs)})" for k, needs in NEEDS.items()]
+    scopes = "named_struct(" + ", ".join(f"'{r}', {s}" for r, s in steps.items()) + ")"
+    sure = f"p.kind IN ({_among(KINDS[:3])})"
+    return F.expr(f"flatten(transform(array({scopes}), s -> filter({parts}, p -> {sure} OR {' OR '.join(rules)})))")
+
+
+def joined(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    return F.expr(f"array_join(transform({spans}, p -> concat_ws(':', {names}[p.kind], p.start, p.end)), ',')")
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """Each row's text with ``spans``: an array of (start, kind, end) in order, in code points, the end exclusive.
+
+    Sure kinds are reported wherever they stand: assignments of 8 or more characters to a telling name, access
+    identifiers, long hexadecimal runs. Weak kinds (account names, mixed tokens of 20 or more characters, addresses) are reported
+    only where complementary parts share a scope. Overlapping matches of different kinds are all listed. A
+    null or empty text has no spans; repeated rows are treated alike; an empty table gives an empty result. Only columns named
+    in ``keep`` are carried. No row leaves its place: there is no shuffle.
+    """
+    text = text_of(docs, text_col)
+    found = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], text.alias("_text"))
+    found = found.withColumns({f"_{k}": matches("`_text`", k) for k in KINDS})
+    parts = F.array_sort(reduce(lambda a, b: F.concat(a, b), [F.col(f"_{k}") for k in KINDS]))
+    return found.withColumn("_parts", parts).withColumn("spans", linked("`_parts`")).drop("_parts", *[f"_{k}" for k in KINDS])
+
+
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: counts of sure kinds, a digest of their spans, and all spans as text."""
+    found = find_secrets(docs, text_col, {"doc_id": docs[id_col]}).withColumn(
+        "base", F.expr(f"filter(spans, p -> p.kind IN ({_among(KINDS[:3])}))"))
+    counts = [F.expr(f"CAST(size(filter(base, p -> p.kind = {i})) AS BIGINT)").alias(f"n_{k}")
+              for i, k in enumerate(KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+                        joined("spans").alias("spans"))
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The rows with every reported span, overlapping ones as one, replaced by ``mark``; other texts stay as they are."""
+    names = {f"_c{i}": docs[c] for i, c in enumerate(docs.columns)}
+    found = find_secrets(docs, text_col, names)
+    fold = ("aggregate(spans, named_struct('at', 1, 'out', ''), (a, p) -> CASE WHEN p.end < a.at THEN a ELSE named_struct("
+            "'at', p.end + 1, 'out', CASE WHEN p.start + 1 < a.at THEN a.out ELSE "
+            f"concat(a.out, substring(`_text`, a.at, p.start + 1 - a.at), {_sql(mark)}) END) END, "
+            "a -> concat(a.out, substring(`_text`, a.at)))")
+    text = F.when(F.size("spans") > 0, F.expr(fold))
+    return found.select(*[
+        (F.coalesce(text, F.col(n)) if c == text_col else F.col(n)).alias(c) for n, c in zip(names, docs.columns)])
