@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm.byte_bpe import encode_documents
 from touchline.llm.exact_dedup import exact_dedup
+from touchline.llm.packing import pack_documents
 from touchline.llm.secrets import secret_report
 from touchline.llm.sharding import shard_documents
+from touchline.llm.simhash import simhash_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,3 +39,20 @@ def op6_exact_dedup(spark, sf_dir):
 @query
 def op10_jump_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(docs, path("byte_bpe_multi_50k.tiktoken"), PATTERN, {"doc_id": docs["doc_id"]},
+                            outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op8_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+@query
+def op9_simhash_dedup(spark, sf_dir):
+    return simhash_report(table(spark, sf_dir, "documents"))
