@@ -13,6 +13,7 @@ from touchline.llm.packing import pack_documents
 from touchline.llm.secrets import secret_report
 from touchline.llm.sharding import shard_documents
 from touchline.llm.simhash import simhash_report
+from touchline.llm.toxicity import toxicity_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,6 +42,11 @@ def op10_jump_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
