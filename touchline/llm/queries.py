@@ -13,6 +13,7 @@ from touchline.llm.packing import pack_documents
 from touchline.llm.secrets import secret_report
 from touchline.llm.sharding import shard_documents
 from touchline.llm.simhash import simhash_report
+from touchline.llm.topk import top_k_report
 from touchline.llm.toxicity import toxicity_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_exact_topk(spark, sf_dir):
+    return top_k_report(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_secret_scan(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
