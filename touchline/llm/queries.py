@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm.byte_bpe import encode_documents
 from touchline.llm.exact_dedup import exact_dedup
+from touchline.llm.licenses import license_report
 from touchline.llm.packing import pack_documents
-from touchline.llm.secrets import secret_report
+from touchline.llm.secret_spans import secret_report
 from touchline.llm.sharding import shard_documents
 from touchline.llm.simhash import simhash_report
 from touchline.llm.topk import top_k_report
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark, sf_dir):
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_exact_topk(spark, sf_dir):
     return top_k_report(table(spark, sf_dir, "embeddings"))
