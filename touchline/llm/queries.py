@@ -14,6 +14,7 @@ from touchline.llm.packing import pack_documents
 from touchline.llm.secret_spans import secret_report
 from touchline.llm.sharding import shard_documents
 from touchline.llm.simhash import simhash_report
+from touchline.llm.suffix_dedup import remove_repeats
 from touchline.llm.topk import top_k_report
 from touchline.llm.toxicity import toxicity_report
 
@@ -66,6 +67,11 @@ def op5_byte_bpe(spark, sf_dir):
                             outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op7_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
