@@ -34,6 +34,7 @@ class Settings:
     ordinary_bytes: int = 112_640
     toxic_bytes: int = 2048
     window_words: int = 12
+    tail_bytes: int = 48
     gram: int = 6
     least_rows: int = 8
     contrast: float = 20.0
@@ -124,10 +125,11 @@ def _train(samples: list[bytes], size: int) -> bytes:
 
 class Distance:
     """Per window, the bytes that the toxic dictionary saves. Both compressors share the ordinary dictionary at the same
-    distance, so the saving is zero unless a match in toxic text is used."""
+    distance, so the saving is zero unless a match in toxic text is used. Every window is followed by the same known
+    bytes: without them the compressor neither looks for matches near a window's end nor compresses short windows."""
 
     def __init__(self, model: Model) -> None:
-        self.words = model.settings.window_words
+        self.words, self.tail = model.settings.window_words, model.ordinary[-model.settings.tail_bytes:]
         self.plain, self.toxic = self._compressor(model.ordinary), self._compressor(model.toxic + model.ordinary)
 
     @staticmethod
@@ -144,6 +146,7 @@ class Distance:
         most = total = 0
         plain, toxic = self.plain, self.toxic
         for window in windows(text, self.words):
+            window += self.tail
             saved = len(plain(window)) - len(toxic(window))
             if saved > 0:
                 total += saved
