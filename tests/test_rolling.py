@@ -1,6 +1,7 @@
 """Block scan against a sequential fold, on the shared path and on the path for hot keys."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -75,3 +76,31 @@ def test_alpha_out_of_range(spark):
     df = spark.createDataFrame(rows_for(3), SCHEMA)
     with pytest.raises(ValueError):
         ema_prior(df, ["key"], ["pos"], "x", 0.0).collect()
+
+
+def same(have, want):
+    if have is None or want is None:
+        return have is want
+    if math.isnan(want) or math.isinf(want):
+        return math.isnan(have) if math.isnan(want) else have == want
+    return abs(have - want) <= 1e-9 * max(1.0, abs(want))
+
+
+EXTREMES = {
+    "large at a block's end": {185: 1e20}, "large in a block": {100: 1e20}, "nan": {10: float("nan")}, "inf": {10: float("inf")},
+    "both infinities": {10: float("inf"), 250: float("-inf")}, "largest": {3: 1e307}, "tiny": {0: 1e-300, 1: -1e-290},
+    "minus infinity late": {599: float("-inf")},
+}
+
+
+@pytest.mark.parametrize("limit", [10**9, 100])
+@pytest.mark.parametrize("alpha", [0.2, 0.03, 0.9])
+def test_extreme_values_equal_the_fold(spark, limit, alpha):
+    rows, want = [], {}
+    for key, odd in EXTREMES.items():
+        values = [odd.get(i, 1.0) for i in range(700)]
+        rows += [(key, i, 0, v, True, START) for i, v in enumerate(values)]
+        want[key] = fold(values, alpha)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for r in ema_prior(df, ["key"], ["pos"], "y", alpha, max_group_rows=limit).collect():
+        assert same(r.ema, want[r.key][r.pos]), (r.key, r.pos)

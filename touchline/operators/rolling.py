@@ -6,8 +6,10 @@ an observation in its block, the value before a row is
     q**j * (carry + sum over earlier observations m of the block of c_m * x_m * q**-(m+1))
 
 where c is 1 for the very first observation of the key and alpha after that, and carry is the average at
-the end of the previous block. Blocks are long enough for q**length to be below rounding, so no older
-block matters, and short enough for q**-length not to overflow.
+the end of the previous block: the sums at the ends of the blocks before, each weighted by q**length per block in
+between. ``Trackers.reach`` blocks are added up; beyond them the weight of any finite double underflows. Powers are taken
+from the middle of a block, so they neither overflow nor underflow. NaN and infinite values never fade: they are left
+out of the sums, and what has been seen of them decides the average from then on.
 
 Keys with few rows share one shuffle by key. A key with more than ``max_group_rows`` rows is cut into
 chunks of its own order: counts are summed per chunk, averages are worked out per (key, block), and
@@ -19,6 +21,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -52,14 +56,49 @@ class Trackers:
         rate = -math.log(self.decay)
         return max(16, min(math.ceil(41.5 / rate), math.floor(460.0 / rate)))
 
+    @property
+    def reach(self) -> int:
+        """Blocks until q**length per block has taken the largest double below the smallest."""
+        return math.ceil((math.log(1.79e308) - math.log(4.9e-324)) / (-math.log(self.decay) * self.block)) + 1
+
     @property
     def observed(self) -> Column:
         return F.col(next(iter(self.values.values()))).isNotNull()
 
 
+NAN, UP, DOWN = 1, 2, 4
+
+
+def _finite(value: str) -> Column:
+    x = F.col(value).cast("double")
+    return F.when(F.abs(x) < float("inf"), x).when(x.isNotNull(), 0.0)
+
+
+def _odd(value: str) -> Column:
+    """Which of NaN, infinity and its negative the value is, as a bit; null for a missing value."""
+    x = F.col(value).cast("double")
+    return F.when(F.isnan(x), NAN).when(x == float("inf"), UP).when(x == float("-inf"), DOWN).when(x.isNotNull(), 0)
+
+
+def _with_odd(state: Column, seen: Column) -> Column:
+    """The state, unless a value that never fades has been seen."""
+    return (F.when(state.isNull() | seen.isNull() | (seen == 0), state).when(seen == UP, float("inf"))
+            .when(seen == DOWN, float("-inf")).otherwise(float("nan")))
+
+
 def _scaled(t: Trackers, value: str, k: Column, j: Column) -> Column:
     weight = F.when(k == 0, 1.0).otherwise(float(t.alpha))
-    return F.col(value) * weight * F.pow(F.lit(t.decay), -(j + 1).cast("double"))
+    return _finite(value) * weight * F.pow(F.lit(t.decay), (F.lit(t.block // 2) - (j + 1)).cast("double"))
+
+
+def _power(t: Trackers, steps: Column) -> Column:
+    """What turns a scaled sum into the average after so many observations of its block."""
+    return F.pow(F.lit(t.decay), (steps - F.lit(t.block // 2)).cast("double"))
+
+
+def _faded(t: Trackers, blocks: Column) -> Column:
+    """Weight of a block's end after so many further blocks."""
+    return F.pow(F.lit(t.decay), (blocks * F.lit(t.block)).cast("double"))
 
 
 def _position(t: Trackers) -> tuple[Column, Column, Column]:
@@ -97,25 +136,24 @@ def _by_key(rows, keys, order, trackers, recent):
     })
     for t in trackers:
         k, block, j = _position(t)
-        q = F.lit(t.decay)
         out = out.withColumns({"_b": block, "_j": j})
         inside = Window.partitionBy(*keys, *t.by, "_b").orderBy(*order).rowsBetween(*_BEFORE)
-        across = Window.partitionBy(*keys, *t.by).orderBy("_b", *order).rowsBetween(*_BEFORE)
-        power = F.pow(q, F.col("_j"))
+        before = Window.partitionBy(*keys, *t.by).orderBy(*order).rowsBetween(*_BEFORE)
+        ended = Window.partitionBy(*keys, *t.by).orderBy("_b").rangeBetween(-t.reach, -1)
         sums = {f"_s_{o}": F.coalesce(F.sum(_scaled(t, v, k, F.col("_j"))).over(inside), F.lit(0.0))
                 for o, v in t.values.items()}
-        out = out.withColumns(sums)
-        weight = F.when(k == 0, 1.0).otherwise(float(t.alpha))
+        out = out.withColumns(sums | {f"_f_{o}": F.bit_or(_odd(v)).over(before) for o, v in t.values.items()})
+        closes = t.observed & (F.col("_j") == t.block - 1)
         ends = {
-            f"_c_{o}": F.last(F.when(
-                t.observed & (F.col("_j") == t.block - 1), q * power * F.col(f"_s_{o}") + weight * F.col(v)
-            ), ignorenulls=True).over(across)
+            f"_c_{o}": F.collect_list(F.when(closes, F.struct("_b", (
+                _power(t, F.lit(t.block)) * (F.col(f"_s_{o}") + _scaled(t, v, k, F.col("_j")))).alias("end")))).over(ended)
             for o, v in t.values.items()
         }
         out = out.withColumns(ends).withColumns({
-            o: F.when(k > 0, power * (F.coalesce(F.col(f"_c_{o}"), F.lit(0.0)) + F.col(f"_s_{o}")))
+            o: F.when(k > 0, _with_odd(_power(t, F.col("_j")) * F.col(f"_s_{o}") + F.pow(F.lit(t.decay), F.col("_j").cast("double")) * F.aggregate(
+                f"_c_{o}", F.lit(0.0), lambda sum_, e: sum_ + _faded(t, F.col("_b") - 1 - e["_b"]) * e["end"]), F.col(f"_f_{o}")))
             for o in t.values
-        }).drop("_b", "_j", *sums, *ends)
+        }).drop("_b", "_j", *sums, *ends, *[f"_f_{o}" for o in t.values])
     return out
 
 
@@ -169,22 +207,41 @@ def _states(rows: DataFrame, keys: list[str], t: Trackers, recent) -> DataFrame:
         *([F.col(recent[0]).alias("_recent_value")] if recent else []))
     inside = Window.partitionBy(*keys, "_b").orderBy("_at")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    power = F.pow(F.lit(t.decay), (F.col("_j") + 1).cast("double"))
-    local = {o: power * F.sum(_scaled(t, v, k, F.col("_j"))).over(upto) for o, v in t.values.items()}
+    after, faded = F.col("_j") + 1, F.pow(F.lit(t.decay), (F.col("_j") + 1).cast("double"))
+    local = {o: _power(t, after) * F.sum(_scaled(t, v, k, F.col("_j"))).over(upto) for o, v in t.values.items()}
     if recent:
         local["_list"] = F.collect_list("_recent_value").over(inside.rowsBetween(-(recent[2] - 1), 0))
-    obs = obs.withColumns(local)
+    odd = {f"_f_{o}": _odd(v) for o, v in t.values.items()}
+    obs = obs.withColumns(local | odd)
     names = list(local)
-    ends = obs.where(F.col("_j") == t.block - 1).select(
-        *keys, (F.col("_b") + 1).alias("_b"), *[F.col(n).alias(f"_c_{n}") for n in names])
-    left, right = obs.alias("l"), ends.alias("r")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, "_b"]]
-    joined = left.join(right, on, "left").select("l.*", *[f"r._c_{n}" for n in names])
-    states = {o: power * F.coalesce(F.col(f"_c_{o}"), F.lit(0.0)) + F.col(o) for o in t.values}
+    closed = obs.where(F.col("_j") == t.block - 1)
+    left = obs.alias("l")
+
+    def blocks_match(side: str) -> list[Column]:
+        return [F.col(f"l.{c}").eqNullSafe(F.col(f"{side}.{c}")) for c in [*keys, "_b"]]
+
+    if t.values:  # every end reaches the blocks after it, so a block's carry is one sum
+        later = closed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(t.reach)))).groupBy(
+            *keys, (F.col("_b") + F.col("_i")).alias("_b")).agg(
+            *[F.sum(F.col(o) * _faded(t, F.col("_i") - 1)).alias(f"_c_{o}") for o in t.values])
+        rare = obs.where(reduce(lambda a, b: a | b, [F.col(f) != 0 for f in odd])).groupBy(*keys).agg(*[
+            F.min(F.when(F.col(f).bitwiseAND(F.lit(b)) != 0, F.col(t.count))).alias(f"{f}_{b}") for f in odd for b in (NAN, UP, DOWN)])
+        left = left.join(later.alias("r"), blocks_match("r"), "left").select("l.*", *[f"r._c_{o}" for o in t.values]).alias("l")
+        left = left.join(rare.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys], "left").select(
+            "l.*", *[f"r.{f}_{b}" for f in odd for b in (NAN, UP, DOWN)]).alias("l")
+    if recent:
+        ends = closed.select(*keys, (F.col("_b") + 1).alias("_b"), F.col("_list").alias("_c__list"))
+        left = left.join(ends.alias("e"), blocks_match("e"), "left").select("l.*", "e._c__list").alias("l")
+
+    def seen(o: str) -> Column:
+        """Kinds of values that never fade, among the observations so far."""
+        return reduce(add, [F.when(F.col(f"_f_{o}_{b}") <= F.col(t.count), b).otherwise(0) for b in (NAN, UP, DOWN)])
+
+    states = {o: _with_odd(faded * F.coalesce(F.col(f"_c_{o}"), F.lit(0.0)) + F.col(o), seen(o)) for o in t.values}
     if recent:
         both = F.concat(F.coalesce(F.col("_c__list"), F.array()), F.col("_list"))
         states["_recent"] = F.slice(both, F.greatest(F.size(both) - recent[2] + 1, F.lit(1)), recent[2])
-    return joined.select(*keys, (F.col(t.count) + 1).alias("_k"), *[c.alias(o) for o, c in states.items()])
+    return left.select(*keys, (F.col(t.count) + 1).alias("_k"), *[c.alias(o) for o, c in states.items()])
 
 
 def ema_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float,
