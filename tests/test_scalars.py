@@ -29,7 +29,10 @@ def test_seasons(spark):
 
 def test_coerce_date(spark):
     day = dt.datetime(2024, 8, 16)
-    cases = {"2024-08-16T00:00:00": day, "2024-08-16": day, "2024-13-01": None, "TBD": None, None: None, "2024": None}
+    at = day.replace(hour=15)
+    cases = {"2024-08-16T00:00:00": day, "2024-08-16": day, "2024-13-01": None, "TBD": None, None: None, "2024": None,
+             "2024-08-16T15:00:00+00:00": at, "2024-08-16T15:00:00Z": at, "20240816": day, "20240816T150000Z": at,
+             "2024-08-16T20:30:00.000+0530": at, "2024-08-16T14:00-01": at, "20240230": None, "202408161": None}
     assert [r[0] for r in one(spark, [(c,) for c in cases], "s string", sc.coerce_date("s"))] == list(cases.values())
 
 

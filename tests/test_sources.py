@@ -52,6 +52,28 @@ def test_append_ignores_known_keys(spark, tmp_path):
     assert tables.append_table(df, path) == (3, 3)
 
 
+def test_append_with_null_keys_and_known_copies(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, m map<string,int>, _league string, _season string"
+    df = spark.createDataFrame([(None, {"a": 1}, "L", "1"), ("b", {"a": 2}, None, "1"), ("c", None, "L", "2"), ("c", {"a": 0}, "L", "2")], schema)
+    key = ["k", "_league", "_season"]
+    assert tables.append_table(df, path, key) == (4, 3)
+    for _ in range(2):
+        assert tables.append_table(df, path, key) == (4, 0)
+    other = spark.createDataFrame([("c", {"z": 1}, "L", "3")], schema)
+    assert tables.append_table(other, path, key) == (1, 1)
+    tables.append_table(other, path)  # now there twice
+    assert tables.append_table(other, path, key) == (1, 0) and tables.append_table(other, path, ["k"]) == (1, 0)
+    assert tables.read_table(spark, path, df.schema).count() == 5
+
+
+def test_a_refused_feature_table_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "f")
+    tables.write_feature_table(spark.range(9).withColumnRenamed("id", "row_idx"), path)
+    with pytest.raises(ValueError):
+        tables.write_feature_table(spark.range(3).select(F.lit(1).alias("row_idx")), path)
+    assert spark.read.parquet(path).count() == 9
+
+
 def test_replace_is_idempotent_and_keeps_other_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(1, "L", "0102"), (2, "M", "0102")], "v int, _league string, _season string")

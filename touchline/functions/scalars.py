@@ -7,6 +7,10 @@ from pyspark.sql import Column, functions as F
 # Fixed value: the first two integers in the text, whatever separates them.
 SCORE_PATTERN = r"([0-9]+)[^0-9]+([0-9]+)"
 STRICT_SCORE_PATTERN = r"^\s*([0-9]+)\s*[-–]\s*([0-9]+)\s*$"
+#: Zone offsets and the basic form are read too.
+_ZONE = r"(Z|[+-]\d{2}(:?\d{2})?)$"
+_BASIC = r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])"
+_BASIC_TIME = r"(?<=[T ])(\d{2})(\d{2})(\d{2})?(?=$|\.|Z|[+-])"
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?$"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 ORDINAL_OF_EPOCH = 719163
@@ -62,9 +66,20 @@ def next_season(season: Column | str) -> Column:
 
 
 def coerce_date(raw: Column | str) -> Column:
-    """ISO text (or a timestamp) to a zone-free timestamp, null if it is not a date."""
-    text = col(raw).cast("string")
-    return F.when(text.rlike(ISO_PATTERN), text.try_cast("timestamp_ntz"))
+    """ISO text (or a timestamp) to a zone-free timestamp, null if it is not a date.
+
+    The extended and the basic form are read. A time with an offset or Z is taken to UTC, then its zone is dropped.
+    """
+    basic = F.regexp_replace(col(raw).cast("string"), _BASIC, "$1-$2-$3")
+    full = F.regexp_replace(F.regexp_replace(basic, _BASIC_TIME, "$1:$2:$3"), ":(?=$|Z|[+-])", "")
+    zone = F.regexp_extract(full, "[T ].*?" + _ZONE, 1)
+    local = F.when(zone == "", full).otherwise(F.regexp_replace(full, _ZONE, ""))
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = (F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60
+               + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)))
+    shift = F.when(zone.startswith("-"), minutes).otherwise(-minutes)
+    read = F.when(local.rlike(ISO_PATTERN), local.try_cast("timestamp_ntz"))
+    return F.when(zone == "", read).otherwise(read + F.make_dt_interval(mins=shift))
 
 
 def game_day_from_text(game: Column | str) -> Column:
