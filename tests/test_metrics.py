@@ -69,7 +69,7 @@ def test_splits(spark):
         a, b = int(n * 0.70), int(n * (0.70 + 0.15))
         want = {k: v for k, v in (("train", a), ("val", b - a), ("test", n - b)) if v}
         assert got == want
-        assert ordering.split_ranges(n, SplitConfig()) == {"train": (0, a), "val": (a, b), "test": (b, n)}
+        assert ordering.split_ranges(spark.range(n), SplitConfig()) == {"train": (0, a), "val": (a, b), "test": (b, n)}
 
 
 def test_scaler_and_weights(spark):

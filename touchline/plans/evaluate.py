@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from touchline.config import STAT_TARGETS
+from touchline.config import STAT_TARGETS, ModelConfig
 from touchline.functions.outcomes import apply_temperature, pick
 from touchline.operators.metrics import (
     CLASSES, PROBS, brier, class_metrics, confusion_columns, goal_mae, log_loss, reliability_table, rps,
@@ -39,8 +39,8 @@ def _decide(df: DataFrame, decision: dict[str, float]) -> DataFrame:
         "_f1": pick(*CALIBRATED, decision["draw_boost_f1"])})
 
 
-def evaluate(test: DataFrame, val: DataFrame, decision: dict[str, float], tag: str = "", seed: int = 0,
-             ensemble: int = 1, num_numeric_features: int = 44) -> DataFrame:
+def evaluate(test: DataFrame, val: DataFrame, decision: dict[str, float], cfg: ModelConfig,
+             tag: str = "") -> DataFrame:
     """One nested summary row; test and validation are each read once for all counts and scores."""
     y = F.col("label")
     scored = _decide(test, decision)
@@ -52,8 +52,8 @@ def evaluate(test: DataFrame, val: DataFrame, decision: dict[str, float], tag: s
     table = reliability_table(scored.select("label", *[F.col(c).alias(p) for c, p in zip(CALIBRATED, PROBS)]))
     rows = table.agg(F.array_sort(F.collect_list(F.struct(*table.columns)))).scalar()  # one row per bin
     summary = wide.select(
-        F.lit(tag).alias("tag"), F.lit(seed).alias("seed"), F.lit(ensemble).alias("ensemble"),
-        F.lit(num_numeric_features).alias("num_numeric_features"), "n_rows",
+        F.lit(tag).alias("tag"), F.lit(cfg.seed).alias("seed"), F.lit(cfg.ensemble).alias("ensemble"),
+        F.lit(len(cfg.features)).alias("num_numeric_features"), "n_rows",
         *[F.lit(decision[k]).alias(k) for k in ("temperature", "draw_boost_acc", "draw_boost_f1")],
         _class_struct("p").alias("test_argmax"), _class_struct("a").alias("test_boosted_acc"),
         _class_struct("f").alias("test_boosted"), _score_struct("raw").alias("test_prob"),

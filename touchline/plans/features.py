@@ -157,7 +157,7 @@ def side_features(rows: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Data
     """The 17 per-side features of each team row, from strictly prior matches."""
     prior = prior_states(rows, ["team"], ["row_idx"], trackers(cfg),
                          ("date", "prev", cfg.congestion_memory), cfg.max_group_rows)
-    flagged = new_to_season(prior, season_debuts(rows))
+    flagged = new_to_season(prior, materialize(season_debuts(rows)))  # written, so its size decides how it is joined
     emas = {o: cold_start(o) for t in trackers(cfg) for o in t.values}
     return flagged.withColumns({
         **emas, **date_features(cfg, _previous_dates(cfg)),
@@ -235,19 +235,23 @@ def add_progress(df: DataFrame, spans: DataFrame) -> DataFrame:
 
 def feature_table(schedule: DataFrame, events: DataFrame | None = None,
                   cfg: FeatureConfig = FeatureConfig(), vocab: DataFrame | None = None) -> DataFrame:
-    """One row per valid match: identity, encodings, label, targets and the 44 numeric features."""
+    """One row per valid match: identity, encodings, label, targets and the 44 numeric features.
+
+    Vocabulary and spans are written once, so the four code joins read one small table and are broadcast only when its size
+    allows; codes are attached while rows are narrow.
+    """
     parsed = materialize(parsed_matches(schedule))
     matches = indexed_matches(parsed, events, cfg)
     ratings = elo(matches, cfg.elo_base, cfg.elo_k).select("row_idx", "home_elo", "away_elo")
+    codes = materialize(vocabulary(parsed) if vocab is None else vocab)
+    coded = encode_categories(add_progress(matches, materialize(season_span(parsed))), codes)
     joined = (
-        matches.join(both_sides(side_features(team_rows(matches), cfg)), "row_idx")
+        coded.join(both_sides(side_features(team_rows(matches), cfg)), "row_idx")
         .join(head_to_head(matches, cfg), "row_idx")
         .join(ratings, "row_idx")
         .withColumns(differences())
     )
-    encoded = encode_categories(
-        add_progress(joined, season_span(parsed)), vocabulary(parsed) if vocab is None else vocab)
-    return encoded.select(
+    return joined.select(
         "row_idx", "game", "game_id", "date", "league", "season",
         "home_team_idx", "away_team_idx", "league_idx", "season_idx", "label",
         *[F.col(c).cast("double").alias(c) for c in (

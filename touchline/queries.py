@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 from datetime import timedelta
@@ -9,7 +10,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from touchline.config import EVENT_STATS, NUMERIC_FEATURES, FeatureConfig, ModelConfig, SplitConfig
+from touchline.config import EVENT_STATS, NUMERIC_FEATURES, FeatureConfig, LossConfig, ModelConfig, SplitConfig
 from touchline.functions import outcomes as oc
 from touchline.functions import scalars as sc
 from touchline.functions.names import normalize_names, token_jaccard
@@ -19,6 +20,7 @@ from touchline.operators import matching, metrics as mt, ordering, ratings, scal
 from touchline.operators.rolling import prior_states
 from touchline.plans import evaluate as ev
 from touchline.plans import features as ft
+from touchline.plans import store
 from touchline.plans import training as tr
 from touchline.plans.predict import predict_fixtures
 from touchline.session import checkpoint_dir, materialize
@@ -297,7 +299,8 @@ def feature_table(spark, sf):
 
 @query
 def team_state(spark, sf):
-    return rounded(ft.team_state(indexed(spark, sf, True), CFG).drop("recent_dates"))
+    state = rounded(ft.team_state(indexed(spark, sf, True), CFG).drop("recent_dates"))
+    return state.withColumn("last_date", F.date_format("last_date", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -350,6 +353,24 @@ def name_candidates(spark, sf):
     return matching.candidate_pairs(left, right, ["block"], 0.8).select("block", "l_name", "r_name")
 
 
+@query
+def club_matches(spark, sf):
+    """Spellings with accents, marks, stop words and missing tokens, aliases, and names no one is like enough to."""
+    n = view(spark, sf, "v_clubs")
+    return rounded(matching.match_names(n.select("block", "left_name"), n.select("block", "right_name"), ["block"], CFG.name_threshold))
+
+
+@query
+def club_unmapped(spark, sf):
+    n = view(spark, sf, "v_clubs")
+    named = {"league": F.col("block").cast("string"), "season": F.lit("all")}
+    left = n.select("left_name", "block").distinct().withColumns(named)
+    names = matching.match_names(left.drop("block"), n.select("right_name", "block").withColumns(named).drop("block"),
+                                 ["league", "season"], CFG.name_threshold)
+    return ag.unmapped_names(left.select("league", "season", F.col("left_name").alias("source_name")),
+                             names.withColumnRenamed("left_name", "source_name"))
+
+
 @query
 def squad_priors(spark, sf):
     p = view(spark, sf, "v_players")
@@ -455,10 +476,12 @@ def masked_huber(spark, sf):
 
 @query
 def composite_score(spark, sf):
+    """Every term and weight differs, so none can stand in for another."""
     pairs = [("rate_home", "home_goals"), ("rate_away", "away_goals")]
-    h = mt.masked_huber(pairs)
+    sot, corners, cards = mt.masked_huber(pairs), mt.masked_huber(pairs[:1]), mt.masked_huber(pairs[1:], delta=0.5)
+    weights = LossConfig(lambda_outcome=0.7, lambda_sot=0.3, lambda_corners=0.2, lambda_cards=0.1)
     return rounded(predictions(spark, sf).agg(
-        mt.composite_score(mt.poisson_nll(), mt.outcome_nll(), h, h, h).alias("composite")))
+        mt.composite_score(mt.poisson_nll(), mt.outcome_nll(), sot, corners, cards, weights).alias("composite")))
 
 
 # Calibration
@@ -501,6 +524,42 @@ def run_summary(spark, sf):
         "feature_counts": F.size("feature_counts").cast("long"), "seeds": F.size("seeds").cast("long")}))
 
 
+@query
+def history_summary(spark, sf):
+    """Nested run rows appended to a history file, read back, flattened and summarised."""
+    r = view(spark, sf, "v_runs")
+    a, n = F.col("val_accuracy"), F.col("val_log_loss")
+    nested = r.select(
+        F.when(F.col("seed") != 4, F.col("tag")).alias("tag"), "seed", "num_numeric_features",
+        F.struct(a.alias("accuracy"), n.alias("log_loss"), (a * 0.7137).alias("macro_f1")).alias("val"),
+        F.struct((a * 0.3713).alias("accuracy"), (a * 0.1319).alias("macro_f1")).alias("test_argmax"),
+        F.struct((n * 0.5717).alias("log_loss"), (n * 0.2917).alias("rps")).alias("test_prob"))
+    path = scratch(spark, "history")
+    tables.append_history(nested, path)
+    runs = ev.run_summary(ev.flat_history(spark.read.schema(nested.schema).json(path)))
+    return rounded(runs.withColumns({
+        "feature_counts": F.array_join("feature_counts", ","),
+        "seeds": F.array_join(F.transform("seeds", lambda x: F.concat_ws(":", x["seed"], x["n"])), ",")}))
+
+
+@query
+def unknown_targets(spark, sf):
+    """Leagues that were chosen and are not there."""
+    chosen = view(spark, sf, "nation").select(F.concat(F.lit("L"), "n_nationkey").alias("league"))
+    return tables.unknown_choices(chosen, schedule(spark, sf).select("league").distinct(), "league")
+
+
+@query
+def resample_counts(spark, sf):
+    """How often the first resample holds each row, by its index alone."""
+    rows = indexed(spark, sf).select("row_idx")
+    copies = tr.resampled(rows, 3, 1).groupBy("row_idx").count()
+    return rows.join(copies, "row_idx", "left").agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.abs(F.sum("count") / F.count(F.lit(1)) - 1) < 0.05).alias("about_as_many"), (F.abs(
+            F.avg(F.col("count").isNull().cast("int")) - 0.3679) < 0.05).alias("about_a_third_left_out"))
+
+
 # Fitted statistics
 
 @query
@@ -588,6 +647,30 @@ def append_ignore(spark, sf):
     return tables.read_table(spark, path, rows.schema)
 
 
+@query
+def append_null_keys(spark, sf):
+    """Three loads of rows of which some have a null in the key or in a partition column."""
+    o = view(spark, sf, "orders")
+    rows = o.select(
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey").cast("string")).alias("key"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderstatus")).alias("_league"), F.lit("all").alias("_season"))
+    path, key = scratch(spark, "append-null"), ["key", "_league", "_season"]
+    for _ in range(3):
+        tables.append_table(rows, path, key)
+    return tables.read_table(spark, path, rows.schema)
+
+
+@query
+def feature_table_written(spark, sf):
+    """A table that was written, then refused a replacement whose index repeats."""
+    rows = indexed(spark, sf).select("row_idx", "game_id")
+    path = scratch(spark, "features")
+    tables.write_feature_table(rows, path)
+    with contextlib.suppress(ValueError):
+        tables.write_feature_table(rows.withColumn("row_idx", F.col("row_idx") - F.col("row_idx") % 2), path)
+    return tables.read_table(spark, path)
+
+
 @query
 def replace_partitions(spark, sf):
     """Two loads of the same partitions leave one copy."""
@@ -611,7 +694,7 @@ def landed_schedule(spark, sf):
 
 def _splits(spark, sf):
     table = materialize(ft.feature_table(schedule(spark, sf), events(spark, sf), CFG))
-    ranges = ordering.split_ranges(table.count())
+    ranges = ordering.split_ranges(table)
     return {k: ordering.row_range(table, *v) for k, v in ranges.items()}
 
 
@@ -641,7 +724,7 @@ def evaluation_summary(spark, sf):
     parts = _splits(spark, sf)
     fitted = tr.fit(parts["train"])
     val, test = (materialize(tr.predict(fitted, parts[k])) for k in ("val", "test"))
-    summary = ev.evaluate(test, val, cal.fit_decision_layer(val), "bench")
+    summary = ev.evaluate(test, val, cal.fit_decision_layer(val), fitted.config, "bench")
     path = scratch(spark, "history")
     tables.append_history(summary, path)
     return spark.read.schema(summary.schema).json(path)
@@ -649,20 +732,22 @@ def evaluation_summary(spark, sf):
 
 @query
 def parameter_sweep(spark, sf):
+    """The documented grid over all features."""
     parts = _splits(spark, sf)
-    base = ModelConfig(features=tuple(f for f in NUMERIC_FEATURES if f.endswith("_ema") or f.endswith("_elo")))
-    return tr.temporal_sweep(parts["train"], parts["val"], base, (0.01, 0.1), (0.0, 390.0))
+    return tr.temporal_sweep(parts["train"], parts["val"])
 
 
 @query
 def fixture_predictions(spark, sf):
+    """Fitted, saved, and predicted from what was saved."""
     s = schedule(spark, sf)
     parts = _splits(spark, sf)
     fitted = tr.fit(parts["train"])
     decision = cal.fit_decision_layer(materialize(tr.predict(fitted, parts["val"])))
-    known = ft.history(indexed(spark, sf, True), CFG)
-    return rounded(predict_fixtures(_fixtures(spark, sf), known, ft.vocabulary(s), fitted, decision,
-                                    cfg=CFG, spans=ag.season_span(s)))
+    path = scratch(spark, "run")
+    store.save_run(fitted, ft.history(indexed(spark, sf, True), CFG), ft.vocabulary(s), decision, path)
+    fitted, known, vocab, decision = store.load_run(spark, path)
+    return rounded(predict_fixtures(_fixtures(spark, sf), known, vocab, fitted, decision, cfg=CFG, spans=ag.season_span(s)))
 
 
 # Streams

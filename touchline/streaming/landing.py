@@ -29,8 +29,14 @@ def deduplicate(rows: DataFrame, key: Sequence[str], event_time: str, delay: str
 
 
 def start_landing(rows: DataFrame, table: str, key: Sequence[str], checkpoint: str,
-                  partition_by: Sequence[str] = PARTITIONS) -> StreamingQuery:
-    """Loads what has arrived and stops; rows already in the table are left out, so a retried batch is harmless."""
+                  partition_by: Sequence[str] = PARTITIONS, within: tuple[str, str] | None = None) -> StreamingQuery:
+    """Loads what has arrived and stops; rows already in the table are left out, so a retried batch is harmless.
+
+    ``within`` = (event time column, delay) drops repeated keys in the stream already, so the table is asked about fewer rows.
+    """
+    if within:
+        rows = deduplicate(rows, key, *within)
+
     def load(batch: DataFrame, _batch_id: int) -> None:
         append_table(batch, table, key, partition_by)
 

@@ -68,6 +68,22 @@ SELECT DISTINCT p_type AS block, concat(p_name, ' FC') AS left_name,
 FROM {part}
 """
 
+# Tokens are runs of one letter, so the character ratio of two names is twice their common tokens over all tokens.
+CLUBS = """
+SELECT block, k,
+       CASE WHEN p % 12 = 7 THEN 'PSG' WHEN p % 12 = 5 THEN concat('Zzzz ', CAST(p AS STRING))
+            WHEN p % 4 = 1 THEN concat('FC ', a, '-', upper(b), ' ', replace(c, 'ee', 'éé')) ELSE concat(a, ' ', b, ' ', c, ' 04') END AS left_name,
+       CASE WHEN p % 12 = 7 THEN 'Paris Saint-Germain' WHEN p % 12 = 5 THEN 'Club de 1900'
+            WHEN p % 3 = 0 THEN concat(c, ' ', a, ' ', d) WHEN p % 3 = 1 THEN concat(b, ' ', a)
+            ELSE concat(c, ' ', b, ' ', a, ' AFC') END AS right_name
+FROM (SELECT p_partkey AS p, CAST(floor(p_partkey / 12) AS BIGINT) AS block, p_partkey % 12 AS k,
+             repeat(substr('bdefghijklmnopqrstuvwxy', 1 + CAST((p_partkey * 7) % 23 AS INT), 1), 4) AS a,
+             repeat(substr('bdefghijklmnopqrstuvwxy', 1 + CAST((p_partkey * 5 + p_size) % 23 AS INT), 1), 4) AS b,
+             repeat(substr('bdefghijklmnopqrstuvwxy', 1 + CAST((p_partkey + 3 * p_size) % 23 AS INT), 1), 4) AS c,
+             repeat(substr('bdefghijklmnopqrstuvwxy', 1 + CAST((p_partkey * 11 + p_size) % 23 AS INT), 1), 4) AS d
+      FROM {part}) n
+"""
+
 RUNS = """
 SELECT p_brand AS tag, CAST(p_partkey % 5 AS INT) AS seed, 40 + p_size % 3 AS num_numeric_features,
        (p_partkey % 1000) / 1000e0 AS val_accuracy, 0.9e0 + (p_size % 50) / 100e0 AS val_log_loss
@@ -80,6 +96,7 @@ VIEWS = {
     "v_players": (PLAYERS, ("customer",)),
     "v_predictions": (PREDICTIONS, ("lineitem",)),
     "v_names": (NAMES, ("part",)),
+    "v_clubs": (CLUBS, ("part",)),
     "v_runs": (RUNS, ("part",)),
 }
 
