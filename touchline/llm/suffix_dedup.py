@@ -24,7 +24,7 @@ LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19
 PLACE_BITS = 20
 #: Anchors matched inside a task before the others are shuffled; suffixes of a sorted run, of its blocks and of a merged part.
-CHUNK_ANCHORS, RUN_ROWS, BLOCK_ROWS, PART_ROWS = 500_000, 60_000, 256, 60_000
+CHUNK_ANCHORS, RUN_ROWS, BLOCK_ROWS, PART_ROWS = 500_000, 60_000, 256, 20_000
 #: Block keys drawn to choose where parts begin: a bound on what the driver holds.
 SPLIT_SAMPLE = 20_000
 
