@@ -35,7 +35,7 @@ class Settings:
     toxic_bytes: int = 2048
     window_words: int = 12
     tail_bytes: int = 48
-    gram: int = 6
+    grams: tuple[int, ...] = (6, 10)
     least_rows: int = 8
     contrast: float = 20.0
 
@@ -63,8 +63,9 @@ def _bare(text: str) -> set[bytes]:
     return {f" {w.strip('.,!?;:()')} ".encode() for w in _words(text)}
 
 
-def _grams(word: bytes, n: int) -> list[bytes]:
-    return [word[i:i + n] for i in range(len(word) - n + 1)]
+def _grams(word: bytes, sizes: tuple[int, ...]) -> list[tuple[int, bytes]]:
+    """(place, gram) of every size, by place."""
+    return [(i, word[i:i + n]) for i in range(len(word)) for n in sizes if i + n <= len(word)]
 
 
 def windows(text: str, words: int) -> list[bytes]:
@@ -91,23 +92,25 @@ def _telling_parts(toxic: list[str], ordinary: list[str], s: Settings) -> list[b
     counts, others = Counter(), Counter()
     bare = [_bare(t) for t in toxic]
     for words in bare:
-        counts.update({g for w in words for g in _grams(w, s.gram)})
+        counts.update({g for w in words for _, g in _grams(w, s.grams)})
+    least = max(3, min(s.least_rows, len(toxic) // 4))  # a quarter of a very small sample is enough
+    common = {g for g, n in counts.items() if n >= least}
     for text in ordinary:
-        others.update({g for w in _bare(text) for g in _grams(w, s.gram)})
+        others.update({g for w in _bare(text) for _, g in _grams(w, s.grams) if g in common})
     share = s.contrast * len(toxic) / max(1, len(ordinary))
-    telling = {g for g, n in counts.items() if n >= s.least_rows and n > share * (others[g] + 0.5)}
+    telling = {g for g in common if counts[g] > share * (others[g] + 0.5)}
     found = []
     for words in bare:
         parts: list[bytes] = []
         for word in sorted(words):
             end = -1
-            for i, gram in enumerate(_grams(word, s.gram)):
+            for i, gram in _grams(word, s.grams):
                 if gram in telling:
-                    if end >= i:
-                        parts[-1] += word[end:i + s.gram]
-                    else:
+                    if end < i:
                         parts.append(gram)
-                    end = i + s.gram
+                    else:
+                        parts[-1] += word[end:i + len(gram)]
+                    end = max(end, i + len(gram))
         found.append(b"".join(parts))
     return [p for p in found if p]
 
@@ -190,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, ordinary = ([r.text for r in rows if r.use == "fit" and r.label == k] for k in (1, 0))
     if not toxic or not ordinary:
         return Model(s, float(prior))
-    plain = _train([w for t in ordinary for w in windows(t, s.window_words)], s.ordinary_bytes)
     telling = _telling_parts(_without_copies(toxic), ordinary, s)
+    plain = _train([w for t in ordinary for w in windows(t, s.window_words)], s.ordinary_bytes)
     repeats = max(1, 200 * s.toxic_bytes // max(1, sum(map(len, telling))))
     model = Model(s, float(prior), plain, _train(telling * repeats, s.toxic_bytes))
     distance = Distance(model)
