@@ -20,13 +20,11 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, con, name):
     got = entry.queries()[name](spark, sf).toPandas()
-    assert len(got) or name == "unmapped_names"
+    assert len(got) or name == "unmapped_names"  # every name is known there; club_unmapped has some that are not
     assert oracle.compare(got, con.execute(SQL[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", ["team_state", "h2h_state", "peek_features", "known_teams", "name_candidates",
-                                  "composite_score", "decision_layer", "league_rho", "seeded_shuffle",
-                                  "replace_partitions", "landed_schedule", "live_landing"])
+@pytest.mark.parametrize("name", ["peek_features", "name_candidates", "training_export", "parameter_sweep", "fixture_predictions"])
 def test_query_without_sql_runs(spark, sf, name):
     assert not entry.queries()[name](spark, sf).isEmpty()
 
