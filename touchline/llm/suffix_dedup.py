@@ -313,6 +313,8 @@ def repeated_offsets(group: list[tuple[bytes, int, int, int]]) -> list[list[tupl
     return found
 
 
+PIECES = "part int, chunk long, base long, shared binary, lengths binary, rests binary, least binary, most binary, many binary"
+PIECE_COLUMNS = [field.split()[0] for field in PIECES.split(", ")]
 VERDICTS = "chunk long, numbers array<int>, least array<int>, most array<int>, string binary, many int"
 
 
@@ -324,27 +326,38 @@ def merge_parts(runs: DataFrame, part_rows: int = PART_ROWS, sample: int = SPLIT
     """
     splits, hot = choose_parts(runs, part_rows, sample)
 
-    @F.pandas_udf("array<int>")
-    def parts_of(first: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([list(range(bisect_right(splits, a), bisect_right(splits, b) + 1)) for a, b in zip(first, last)])
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks cut where parts begin, so each context goes to one part."""
+        for pdf in frames:
+            rows = []
+            for b in pdf.itertuples():
+                shared, lengths = np.frombuffer(b.shared, np.uint16), np.frombuffer(b.lengths, np.uint16)
+                ends = np.cumsum(lengths, dtype=np.int64)
+                starts: list[tuple[int, bytes, int]] = []  # place, key, part
+                if bisect_right(splits, b.first) == bisect_right(splits, b.last):
+                    starts.append((0, b.first, bisect_right(splits, b.first)))
+                else:
+                    for n, (key, _) in enumerate(front_decode(b.shared, b.lengths, b.rests)):
+                        part = bisect_right(splits, key)
+                        if not starts or starts[-1][2] != part:
+                            starts.append((n, key, part))
+                for (n, key, part), stop in zip(starts, [*(x[0] for x in starts[1:]), len(shared)]):
+                    piece_shared, piece_lengths = shared[n:stop].copy(), lengths[n:stop].copy()
+                    piece_shared[0], piece_lengths[0] = 0, len(key)  # the first key of a piece stands whole
+                    rows.append((part, b.chunk, b.base + n, piece_shared.tobytes(), piece_lengths.tobytes(),
+                                 key + b.rests[ends[n]:ends[stop - 1]], b.least[n:stop], b.most[n:stop], b.many[n:stop]))
+            yield pd.DataFrame(rows, columns=PIECE_COLUMNS)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        low = splits[part - 1] if part else b""
-        high = splits[part] if part < len(splits) else None
         out: dict[int, tuple[list, list, list]] = {}
         rows: list[tuple] = []
 
-        def run(blocks: pd.DataFrame) -> Iterator[tuple]:
+        def run(pieces: pd.DataFrame) -> Iterator[tuple]:
             before = b""
-            for b in blocks.sort_values("block").itertuples():
+            for b in pieces.sort_values("base").itertuples():
                 limits = zip(*(np.frombuffer(x, np.uint8).tolist() for x in (b.least, b.most, b.many)))
                 for n, ((key, shared), limit) in enumerate(zip(front_decode(b.shared, b.lengths, b.rests), limits)):
-                    if key < low:
-                        continue
-                    if high is not None and key >= high:
-                        return
-                    yield key, shared if n and before else common_prefix(before, key, 0), (b.chunk, b.base + n, *limit)
+                    yield key, shared if n else common_prefix(before, key, 0), (b.chunk, b.base + n, *limit)
                     before = key
 
         def settle(group: list[tuple[bytes, tuple]]) -> None:
@@ -380,9 +393,8 @@ def merge_parts(runs: DataFrame, part_rows: int = PART_ROWS, sample: int = SPLIT
         rows += [(chunk, *lists, None, 0) for chunk, lists in out.items()]
         return pd.DataFrame(rows, columns=["chunk", "numbers", "least", "most", "string", "many"])
 
-    cut = runs.where("block >= 0").withColumn("part", F.explode(parts_of("first", "last")))
-    return cut.select("part", "chunk", "block", "shared", "lengths", "rests", "least", "most", "many", "base").groupBy(
-        "part").applyInPandas(merge, VERDICTS)
+    blocks = runs.where("block >= 0").select("chunk", "first", "last", "shared", "lengths", "rests", "least", "most", "many", "base")
+    return blocks.mapInPandas(cut, PIECES).groupBy("part").applyInPandas(merge, VERDICTS)
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
