@@ -144,16 +144,24 @@ def _by_key(rows, keys, order, trackers, recent):
                 for o, v in t.values.items()}
         out = out.withColumns(sums | {f"_f_{o}": F.bit_or(_odd(v)).over(before) for o, v in t.values.items()})
         closes = t.observed & (F.col("_j") == t.block - 1)
-        ends = {
-            f"_c_{o}": F.collect_list(F.when(closes, F.struct("_b", (
-                _power(t, F.lit(t.block)) * (F.col(f"_s_{o}") + _scaled(t, v, k, F.col("_j")))).alias("end")))).over(ended)
-            for o, v in t.values.items()
-        }
-        out = out.withColumns(ends).withColumns({
-            o: F.when(k > 0, _with_odd(_power(t, F.col("_j")) * F.col(f"_s_{o}") + F.pow(F.lit(t.decay), F.col("_j").cast("double")) * F.aggregate(
-                f"_c_{o}", F.lit(0.0), lambda sum_, e: sum_ + _faded(t, F.col("_b") - 1 - e["_b"]) * e["end"]), F.col(f"_f_{o}")))
+        ends = [(_power(t, F.lit(t.block)) * (F.col(f"_s_{o}") + _scaled(t, v, k, F.col("_j")))).alias(f"_e_{o}")
+                for o, v in t.values.items()]
+        out = out.withColumn("_ends", F.collect_list(F.when(closes, F.struct("_b", *ends))).over(ended))
+        # The carry is worked out on the rows that open a block and read by the others.
+        since = Window.partitionBy(*keys, *t.by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+        def carry(o: str) -> Column:
+            def add_end(total: Column, e: Column) -> Column:
+                return total + _faded(t, F.col("_b") - 1 - e["_b"]) * e[f"_e_{o}"]
+
+            return F.first(F.when(F.col("_j") == 0, F.aggregate("_ends", F.lit(0.0), add_end)), ignorenulls=True).over(since)
+
+        out = out.withColumns({f"_c_{o}": carry(o) for o in t.values})
+        fade = F.pow(F.lit(t.decay), F.col("_j").cast("double"))
+        out = out.withColumns({
+            o: F.when(k > 0, _with_odd(_power(t, F.col("_j")) * F.col(f"_s_{o}") + fade * F.coalesce(f"_c_{o}", F.lit(0.0)), F.col(f"_f_{o}")))
             for o in t.values
-        }).drop("_b", "_j", *sums, *ends, *[f"_f_{o}" for o in t.values])
+        }).drop("_b", "_j", "_ends", *sums, *[f"_{x}_{o}" for o in t.values for x in ("f", "c")])
     return out
 
 
