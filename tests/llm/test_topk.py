@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm import topk
 from touchline.llm.topk import LEAST, search, top_k_report
@@ -48,6 +49,27 @@ def test_equals_all_pairs(spark, monkeypatch, kind):
     assert result(top_k_report(frame(spark, rows), every=5)) == brute(rows, every=5)
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_blocks_of_a_group_in_any_order(spark, monkeypatch, order):
+    """Floors are those of the own query, also if the blocks of a group do not arrive by id."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 5)
+    monkeypatch.setattr(topk, "PACKS", 2)
+    real = topk.blocks
+
+    def mixed(vectors):
+        """One file of all blocks, sorted by something else than their ids."""
+        out = real(vectors)
+        by = ["_n"] if order == "descending" else ["_h"]
+        first = F.conv(F.hex(F.reverse(F.substring("ids", 1, 8))), 16, 10)
+        return out.withColumns({"_n": -first.cast("double"), "_h": F.xxhash64("ids")}).coalesce(1).sortWithinPartitions(*by).drop("_n", "_h")
+
+    monkeypatch.setattr(topk, "blocks", mixed)
+    v = np.random.default_rng(4).normal(size=(400, 6)) * np.linspace(0.1, 3, 400)[:, None]
+    rows = [(i * 7, x.tolist()) for i, x in enumerate(v)]
+    assert result(top_k_report(frame(spark, rows), every=5)) == brute(rows, every=5)
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5]), (1, [1e6, -1e6]), (2, []), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]),
             (6, [float("inf")]), (None, [1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (7, [0.0, 9.0]), (100, [-1e6, 1e6])]

@@ -131,8 +131,9 @@ def top_k(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
         dims = int(pdf["dims"].max())
         own = _index(pdf, dims)
         ids, data = np.concatenate([i for i, _ in own]), np.concatenate([d for _, d in own])
-        asked = ids % every == 0
-        if not asked.any():
+        asked = np.flatnonzero(ids % every == 0)
+        asked = asked[np.argsort(ids[asked], kind="stable")]  # a group's blocks arrive in any order, packs are searched by id
+        if not len(asked):
             return pd.DataFrame({n: pd.Series(dtype=object) for n in ("part", "grp", "ids", "dims", "data", "found_query", "found_id", "found_score")})
         ids, data = ids[asked], data[asked]
         query, ident, score = search((ids, data), own, np.full(len(ids), LEAST), k)
