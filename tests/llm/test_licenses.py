@@ -55,6 +55,50 @@ def test_bands_lose_no_match(scanner):
     assert sorted((i, *m) for i, t in enumerate(texts) for m in brute(t)) == sorted(m[:3] for m in got)
 
 
+def whole(text):
+    """As ``brute``, but over all stretches of twice a template's words, whatever windows the operator takes."""
+    words, found = tokens(text), []
+    for name, texts in TEMPLATES.items():
+        for number, template in enumerate(texts):
+            parts = tokens(template)
+            want = {tuple(parts[i:i + WORDS]) for i in range(len(parts) - WORDS + 1)}
+            runs = [tuple(words[i:i + WORDS]) for i in range(len(words) - WORDS + 1)]
+            last = 2 * len(parts) - WORDS + 1
+            if any(len(want.intersection(runs[i:i + last])) / len(want) >= CONTAINMENT for i in range(len(runs))):
+                found.append((name, number))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("name, number, places, many", [
+    ("Apache-2.0", 2, [0.5], 8), ("Apache-2.0", 2, [0.34], 5), ("Apache-2.0", 2, [0.5], 12), ("GPL-3.0", 1, [0.5], 12),
+    ("MIT", 3, [0.33, 0.66], 2)])
+def test_notices_with_words_put_in_are_found_at_every_alignment(scanner, name, number, places, many):
+    notice = tokens(TEMPLATES[name][number])
+    for place in sorted((int(p * len(notice)) for p in places), reverse=True):
+        notice[place:place] = [b"put"] * many
+    texts = [f"{'before ' * lead}{b' '.join(notice).decode()}{' after' * 40}" for lead in range(20)]
+    got = scanner.scan(texts)
+    assert got == scanner.scan(texts, bands=False)
+    assert [(t, first) for t, lic, n, _, first, _ in got if (lic, n) == (name, number)] == [(i, i) for i in range(20)]
+    assert [(t, lic, n) for t, lic, n, *_ in got] == [(i, *m) for i, t in enumerate(texts) for m in whole(t)]
+
+
+def test_random_notices_equal_all_stretches(scanner):
+    rng, texts = random.Random(5), corpus(2)
+    for text in corpus(3):
+        parts = text.split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(parts))
+            parts[at:at] = ["put"] * rng.randint(1, 12)
+        texts.append(" ".join(parts))
+    assert [m[:3] for m in scanner.scan(texts)] == [(i, *m) for i, t in enumerate(texts) for m in whole(t)]
+
+
+def test_bands_cover_every_match(scanner):
+    for template, sketch in zip(scanner.templates, scanner.sketches):
+        assert template.shingles.issuperset(sketch.tolist()) and len(sketch) > len(template.shingles) - template.needed
+
+
 def test_minima_and_shingles():
     values = np.random.default_rng(0).integers(0, 99, 50).astype(np.uint64)
     for width in (1, 2, 3, 7, 16, 20):

@@ -1,4 +1,4 @@
-"""License notices in text: MinHash bands over overlapping windows find templates, exact containment confirms them."""
+"""License notices in text: MinHash bands find templates at every word, exact containment over wide windows confirms them."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from touchline.llm.common import text_of
 
 WORDS, CONTAINMENT = 5, 0.8
-#: Bands of one row each. A window that holds enough of a template shares at least ``least_jaccard`` of their joint shingles
-#: with it, which is over 0.45 for every template below, so all bands miss with probability under 0.55**16 < 1e-4.
+#: Bands of one row each at least; templates get more until the least shingles of their bands are more than a match may lack,
+#: so no match lacks them all.
 BANDS = 16
 SEED = 42
 MARKS = b"\t\n\x0b\x0c\r.,;:!?()[]{}<>\"'`*#/\\|-_=+"
@@ -68,10 +68,10 @@ def tokens(text: str) -> list[bytes]:
 def window_shape(words: int) -> tuple[int, int]:
     """Words of a window for templates of so many words, and the step from one window to the next.
 
-    The window is longer than the template by one step, so every stretch as long as the template lies whole in some window.
+    The window is twice as long as the template and begins at every word, so a notice with words put in is found
+    wherever it stands, as long as it is at most twice as long as the template.
     """
-    step = max(1, words // 4)
-    return words + step, step
+    return 2 * words, 1
 
 
 def shingle_hashes(word_hashes: np.ndarray, words: int) -> np.ndarray:
@@ -109,31 +109,39 @@ class Template:
     number: int
     words: int
     shingles: frozenset[int]
+    needed: int  # shingles a match holds at least
 
 
 class Scanner:
-    """Templates by length; ``scan`` returns the matches of one text."""
+    """Templates and their bands; ``scan`` returns the matches of some texts."""
 
     def __init__(self, templates: dict[str, list[str]], words: int = WORDS, containment: float = CONTAINMENT) -> None:
         self.words, self.containment = words, containment
         self.hash_of: dict[bytes, int] = {}
-        self.by_length: dict[int, list[Template]] = {}
+        self.templates: list[Template] = []
         for name, texts in templates.items():
             for number, text in enumerate(texts):
                 parts = tokens(text)
                 if len(parts) < words:
                     raise ValueError(f"template {number} of {name} has fewer than {words} words")
                 shingles = frozenset(shingle_hashes(self._hashes(parts), words).tolist())
-                self.by_length.setdefault(len(parts), []).append(Template(name, number, len(parts), shingles))
-        self.keys = {n: [np.array([band_keys(np.array(list(t.shingles), np.uint64), b).min() for t in group])
-                         for b in range(BANDS)] for n, group in self.by_length.items()}
+                needed = next(n for n in range(len(shingles) + 1) if n / len(shingles) >= containment)
+                self.templates.append(Template(name, number, len(parts), shingles, needed))
+        self.sketches = [self._sketch(t) for t in self.templates]
+        self.known = np.unique(np.concatenate(self.sketches)) if self.sketches else np.zeros(0, np.uint64)
+
+    @staticmethod
+    def _sketch(template: Template) -> np.ndarray:
+        """The shingles that are least under some band."""
+        shingles, least, band = np.array(sorted(template.shingles), np.uint64), set(), 0
+        while band < BANDS or len(least) <= len(shingles) - template.needed:
+            least.add(int(shingles[band_keys(shingles, band).argmin()]))
+            band += 1
+        return np.array(sorted(least), np.uint64)
 
     def least_jaccard(self) -> float:
-        """The smallest similarity of a window that holds enough of a template to the template."""
-        def least(t: Template) -> float:
-            shared = -(-self.containment * len(t.shingles) // 1)
-            return shared / (len(t.shingles) + window_shape(t.words)[0] - self.words + 1 - shared)
-        return min(least(t) for group in self.by_length.values() for t in group)
+        """The smallest similarity of a template to those of its shingles that a match holds."""
+        return min(t.needed / len(t.shingles) for t in self.templates)
 
     def _hashes(self, parts: list[bytes]) -> np.ndarray:
         known = self.hash_of
@@ -143,46 +151,52 @@ class Scanner:
             known[word] = xxhash.xxh64_intdigest(word, SEED)
         return np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
 
+    def _near(self, each: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(place of the text, place of the template) where a text holds the least shingle of a band."""
+        hashes = np.concatenate([np.zeros(0, np.uint64), *each])
+        if not len(hashes) or not len(self.known):
+            return []
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        at = np.flatnonzero(self.known[place] == hashes)
+        text = np.searchsorted(np.cumsum([len(h) for h in each]), at, side="right")
+        held: dict[int, list[int]] = {}
+        for t, h in zip(text.tolist(), hashes[at].tolist()):
+            held.setdefault(t, []).append(h)
+        return [(t, i) for t, some in held.items() for i, sketch in enumerate(self.sketches) if not set(some).isdisjoint(sketch.tolist())]
+
+    def _best(self, template: Template, hashes: np.ndarray) -> tuple[float, int, int] | None:
+        """(containment, first word, windows): the first of the best windows, and how many hold enough.
+
+        Windows begin at a shingle of the template: one that begins before it holds no more than the one that begins there.
+        """
+        width = window_shape(template.words)[0] - self.words + 1  # shingles of a window
+        places = [(at, h) for at, h in enumerate(hashes.tolist()) if h in template.shingles]
+        counts: dict[int, int] = {}
+        stop, most, first, hits = 0, 0, 0, 0
+        for start, gone in places:
+            while stop < len(places) and places[stop][0] < start + width:
+                counts[places[stop][1]] = counts.get(places[stop][1], 0) + 1
+                stop += 1
+            if len(counts) >= template.needed:
+                hits += 1
+                if len(counts) > most:
+                    most, first = len(counts), start
+            counts[gone] -= 1
+            if not counts[gone]:
+                del counts[gone]
+        return (most / len(template.shingles), first, hits) if hits else None
+
     def scan(self, texts: list[str], bands: bool = True) -> list[tuple[int, str, int, float, int, int]]:
         """(place of the text, license, template, containment, first word, windows) per template found, in this order;
-        without ``bands`` every window is compared.
-
-        The shingles of all texts stand in one array, each text's followed by as many blanks as the widest window is
-        long, so windows of many texts are worked out at once and none reaches into the next text.
-        """
+        without ``bands`` every text is compared with every template."""
         each = [shingle_hashes(self._hashes(tokens(t)), self.words) for t in texts]
-        sizes = np.array([len(h) for h in each], np.int64)
-        widest = max(window_shape(n)[0] for n in self.by_length) - self.words + 1
-        offsets = np.concatenate(([0], np.cumsum(sizes + widest)))
-        hashes, blank = np.zeros(offsets[-1], np.uint64), np.ones(offsets[-1], bool)
-        for offset, h in zip(offsets, each):
-            hashes[offset:offset + len(h)], blank[offset:offset + len(h)] = h, False
-        minima = []
-        for b in range(BANDS if bands else 0):
-            keys = band_keys(hashes, b)
-            keys[blank] = np.iinfo(np.uint64).max
-            minima.append(Minima(keys, widest))
+        near = self._near(each) if bands else [(t, i) for t in range(len(each)) for i in range(len(self.templates))]
         found = []
-        for n, group in self.by_length.items():
-            width, step = window_shape(n)
-            width -= self.words - 1  # shingles of a window
-            many = np.where(sizes, -(-np.maximum(sizes - width, 0) // step) + 1, 0)
-            text = np.repeat(np.arange(len(texts)), many)
-            local = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * step
-            starts = offsets[text] + local
-            near = np.full((len(group), len(starts)), not bands)
-            for b, least in enumerate(m.over(starts, width) for m in minima):
-                for i, key in enumerate(self.keys[n][b]):
-                    near[i] |= least == key
-            for i, template in enumerate(group):
-                best: dict[int, tuple[float, int, int]] = {}
-                for at in np.flatnonzero(near[i]).tolist():
-                    t, start = int(text[at]), int(local[at])
-                    held = len(template.shingles.intersection(each[t][start:start + width].tolist())) / len(template.shingles)
-                    if held >= self.containment:
-                        most, first, hits = best.get(t, (0.0, 0, 0))
-                        best[t] = (held, start, hits + 1) if held > most else (most, first, hits + 1)
-                found += [(t, template.license, template.number, *m) for t, m in best.items()]
+        for t, i in near:
+            template = self.templates[i]
+            best = self._best(template, each[t])
+            if best:
+                found.append((t, template.license, template.number, *best))
         return sorted(found)
 
 
@@ -193,8 +207,9 @@ def scan_licenses(docs: DataFrame, keep: dict[str, Column], text_col: str = "tex
                   templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per document and template found, with the columns in ``keep``.
 
-    A template is found where a window of the text holds at least ``CONTAINMENT`` of its shingles of ``WORDS`` words; containment
-    is that of the best window, which begins at ``first_word``, and ``windows`` counts those that hold enough. Null, empty and short
+    A template is found where a window of the text, twice as long as the template, holds at least ``CONTAINMENT`` of its shingles of
+    ``WORDS`` words; containment is that of the best window, which begins at ``first_word``, and ``windows`` counts those that hold
+    enough and begin at a shingle of the template. Null, empty and short
     texts have no matches; repeated rows are each scanned; an empty table gives an empty result. Rows do not move, and the
     templates, a fixed list, travel with the tasks.
     """
