@@ -78,3 +78,15 @@ def test_masking(frame, mark):
                 at = b
         assert r.text == (text if text is None else want + text[at:]), r.doc_id
     assert find_secrets(frame([])).count() == 0
+
+
+LONG = "aB3" * 234  # 702 characters, three steps
+
+
+@pytest.mark.parametrize("text, masked", [
+    (f"{LONG} login: bob", "[SECRET] [SECRET]"), (f"login: {'b' * 700} {MIXED}", "[SECRET] [SECRET]"),
+    (f"https://a.b/{'c' * 700} {KEY} {MIXED}", "[SECRET] [SECRET] [SECRET]"),
+    (f"{LONG}{' ' * 600}login: bob", f"{LONG}{' ' * 600}login: bob"), (f"user: bob{' ' * 600}{MIXED}", f"user: bob{' ' * 600}{MIXED}")])
+@pytest.mark.parametrize("lead", [0, 100, 255])
+def test_masking_links_parts_by_all_they_cover(frame, text, masked, lead):
+    assert redact(frame([(1, "." * lead + text)])).first().text == "." * lead + masked

@@ -60,16 +60,20 @@ def _among(kinds) -> str:
     return ", ".join(str(KINDS.index(k)) for k in kinds)
 
 
-def linked(parts: str, step: int = STEP) -> Column:
+def linked(parts: str, step: int = STEP, whole: bool = False) -> Column:
     """Of the found parts, the sure ones, and the weak ones whose complements share a scope with them.
 
-    Two parts share a scope when their starts lie in the same step or in neighbouring ones. The steps that hold
-    a role are listed once, so a part is joined to scopes, not to every other part of a long text.
+    Two parts share a scope when their starts lie in the same step or in neighbouring ones; with ``whole``, when any steps
+    that they cover do. The steps that hold a role are listed once, so a part is joined to scopes, not to every other part
+    of a long text.
     """
-    steps = {r: f"array_distinct(transform(filter({parts}, p -> p.kind IN ({_among(k)})), p -> p.start div {step}))"
-             for r, k in ROLES.items()}
+    last = f"(p.end - 1) div {step}" if whole else f"p.start div {step}"
+    steps = {r: f"array_distinct(flatten(transform(filter({parts}, p -> p.kind IN ({_among(k)})), "
+                f"p -> sequence(p.start div {step}, {last}))))" for r, k in ROLES.items()}
 
     def near(role: str) -> str:
+        if whole:
+            return f"arrays_overlap(s.{role}, sequence(p.start div {step} - 1L, {last} + 1L))"
         return " OR ".join(f"array_contains(s.{role}, p.start div {step} + {d}L)" for d in (-1, 0, 1))
 
     rules = [f"(p.kind = {KINDS.index(k)} AND {' AND '.join(f'({near(r)})' for r in needs)})" for k, needs in NEEDS.items()]
@@ -84,12 +88,13 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, p -> concat_ws(':', {names}[p.kind], p.start, p.end)), ',')")
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", keep: dict[str, Column] | None = None,
+                 whole: bool = False) -> DataFrame:
     """Each row's text with ``spans``: an array of (start, kind, end) in order, in code points, the end exclusive.
 
     Sure kinds are reported wherever they stand: assignments of 8 or more characters to a telling name, access
     identifiers, long hexadecimal runs. Weak kinds (account names, mixed tokens of 20 or more characters, addresses) are reported
-    only where complementary parts share a scope. Overlapping matches of different kinds are all listed. A
+    only where complementary parts share a scope, by their starts or, with ``whole``, by all they cover. Overlapping matches of different kinds are all listed. A
     null or empty text has no spans; repeated rows are treated alike; an empty table gives an empty result. Only columns named
     in ``keep`` are carried. No row leaves its place: there is no shuffle.
     """
@@ -97,7 +102,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: dict[str, Column
     found = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], text.alias("_text"))
     found = found.withColumns({f"_{k}": matches("`_text`", k) for k in KINDS})
     parts = F.array_sort(reduce(lambda a, b: F.concat(a, b), [F.col(f"_{k}") for k in KINDS]))
-    return found.withColumn("_parts", parts).withColumn("spans", linked("`_parts`")).drop("_parts", *[f"_{k}" for k in KINDS])
+    return found.withColumn("_parts", parts).withColumn("spans", linked("`_parts`", whole=whole)).drop("_parts", *[f"_{k}" for k in KINDS])
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +116,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows with every reported span, overlapping ones as one, replaced by ``mark``; other texts stay as they are."""
+    """The rows with every span, overlapping ones as one, replaced by ``mark``; other texts stay as they are.
+
+    Parts are linked by all they cover, so a weak part is masked also where it follows a long one.
+    """
     names = {f"_c{i}": docs[c] for i, c in enumerate(docs.columns)}
-    found = find_secrets(docs, text_col, names)
+    found = find_secrets(docs, text_col, names, whole=True)
     fold = ("aggregate(spans, named_struct('at', 1, 'out', ''), (a, p) -> CASE WHEN p.end < a.at THEN a ELSE named_struct("
             "'at', p.end + 1, 'out', CASE WHEN p.start + 1 < a.at THEN a.out ELSE "
             f"concat(a.out, substring(`_text`, a.at, p.start + 1 - a.at), {_sql(mark)}) END) END, "
