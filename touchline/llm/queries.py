@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm.byte_bpe import encode_documents
 from touchline.llm.exact_dedup import exact_dedup
+from touchline.llm.katz import score_documents
 from touchline.llm.licenses import license_report
 from touchline.llm.packing import pack_documents
 from touchline.llm.secret_spans import secret_report
@@ -80,3 +81,8 @@ def op8_best_fit_packing(spark, sf_dir):
 @query
 def op9_simhash_dedup(spark, sf_dir):
     return simhash_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_katz_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
