@@ -116,7 +116,6 @@ def test_tables_hold_each_gram_once(frame):
 
 
 def test_discounts():
-    assert list(discounts([100, 40, 20, 12, 8, 5], 5)) == sorted(discounts([100, 40, 20, 12, 8, 5], 5))
     assert all(0 < d < 1 for d in discounts([100, 40, 20, 12, 8, 5], 5))
     assert list(discounts([3, 0, 0, 0, 0, 0], 5)) == [0.5, 0.75, 1 - 0.5 / 3, 0.875, 0.9]
 

@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op9_simhash_dedup": {"doc_id", "fingerprint", "component_id"},
     "op10_jump_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op12_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
     "op13_katz_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 TWINS = ("op2_exact_topk", "op3_secret_scan", "op6_exact_dedup")
@@ -32,5 +33,7 @@ def test_columns_and_rows(spark, sf, name):
     assert set(df.columns) == COLUMNS[name]
     if name in TWINS:
         assert oracle.compare(df.toPandas(), oracle.connect(sf).execute(entry.oracle_sql()[name]).df()) is None
+    elif "audit" in df.columns:
+        assert df.count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
     elif "piece" not in df.columns and name != "op1_license_scan":
         assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()

@@ -217,7 +217,7 @@ class Chunk:
         at = np.full(len(self.tokens), -1)
         context = np.full(len(self.tokens), -1)
         context[1:] = lower["at"][:-1]
-        context[self.since < n - 1] = -1
+        context[self.since == 0] = -1
         if begins:
             context[self.since == 0] = len(lower["id"])
         ids, counts = np.append(lower["id"], BEGIN), np.append(lower["count"], self.starts if begins else 0)

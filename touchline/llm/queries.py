@@ -8,6 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm.byte_bpe import encode_documents
+from touchline.llm.conversations import conversation_report
 from touchline.llm.exact_dedup import exact_dedup
 from touchline.llm.katz import score_documents
 from touchline.llm.licenses import license_report
@@ -86,3 +87,8 @@ def op9_simhash_dedup(spark, sf_dir):
 @query
 def op13_katz_scoring(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_report(table(spark, sf_dir, "conversations"))
