@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from touchline.llm import katz
+from touchline.llm import blocks
 from touchline.llm.katz import Settings, discounts, gram_table, score, score_documents, train
 from pyspark.sql import functions as F
 
@@ -130,6 +130,6 @@ def test_empty_and_unlearnt(spark, frame):
 def test_packing_round_trip():
     import numpy as np
     for values in ([], [0, -1, 1 << 62, 5], list(range(-300, 300))):
-        assert katz.unpack(katz.pack(np.array(values, np.int64))).tolist() == values
+        assert blocks.unpack(blocks.pack(np.array(values, np.int64))).tolist() == values
     floats = np.array([0.1, -2.0, 0.1, 1e-300])
-    assert katz.unpack_floats(katz.pack_floats(floats)).tolist() == floats.tolist()
+    assert blocks.unpack_floats(blocks.pack_floats(floats)).tolist() == floats.tolist()

@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op9_simhash_dedup": {"doc_id", "fingerprint", "component_id"},
     "op10_jump_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op11_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
     "op12_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
     "op13_katz_scoring": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }

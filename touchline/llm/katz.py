@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from touchline.llm.blocks import names_of, pack, pack_floats, spread, unpack, unpack_floats
 from touchline.llm.common import text_of, tidy_shuffles, type_of
 from touchline.session import materialize
 
@@ -51,39 +52,6 @@ class Settings:
     split: int = 30_000
 
 
-# Packed arrays
-
-def pack(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, then zstd: the empty upper bytes of small numbers cost nothing."""
-    planes = np.ascontiguousarray(values.astype("<i8").view("u1").reshape(-1, 8).T)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), "u1").reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
-def pack_floats(values: np.ndarray) -> bytes:
-    """Few distinct values are the rule, so they are listed once."""
-    kinds, codes = np.unique(values, return_inverse=True)
-    return pack(np.concatenate([[len(kinds)], kinds.view("<i8"), codes]))
-
-
-def unpack_floats(data: bytes) -> np.ndarray:
-    found = unpack(data)
-    n = int(found[0])
-    return found[1:n + 1].view("<f8")[found[n + 1:]]
-
-
-def spread(values: np.ndarray) -> np.ndarray:
-    """Equal numbers give equal, well mixed ones."""
-    x = values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_parts(words: Sequence[bytes], parts: int) -> np.ndarray:
     return (spread(np.fromiter(map(zlib.crc32, words), np.int64, len(words))) % np.uint64(parts)).astype(np.int64)
 
@@ -285,10 +253,6 @@ REPLY = ("chunk long, level int, part long, parts long, split long, ids binary,
          "context long, weight double, kept boolean")
 
 
-def names_of(columns: str) -> list[str]:
-    return [c.split()[0] for c in columns.split(", ")]
-
-
 def _requests(texts: DataFrame, replies: DataFrame | None, levels: Sequence[Level], starts: int, parts: int, settings: Settings) -> DataFrame:
     """The distinct grams of the next order, one row per chunk and part."""
     split = settings.split

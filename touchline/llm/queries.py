@@ -7,6 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm.alignment import align_documents
 from touchline.llm.byte_bpe import encode_documents
 from touchline.llm.conversations import conversation_report
 from touchline.llm.exact_dedup import exact_dedup
@@ -92,3 +93,8 @@ def op13_katz_scoring(spark, sf_dir):
 @query
 def op12_conversation_repair(spark, sf_dir):
     return conversation_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    return align_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
