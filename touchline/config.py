@@ -65,9 +65,7 @@ class ModelConfig:
     max_goals: int = 10
     ensemble: int = 1
     seed: int = 0
-    # Most iterations of a fit and the change at which it ends before them.
-    goal_iterations: int = 25
-    goal_tolerance: float = 1e-6
-    stat_iterations: int = 15
-    stat_tolerance: float = 1e-4
+    # Most passes of a fit, and the part of the loss's gradient below which it has come to rest.
+    iterations: int = 60
+    tolerance: float = 1e-8
     features: tuple[str, ...] = field(default=NUMERIC_FEATURES)
