@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import zstandard
 
@@ -39,3 +41,9 @@ def spread(values: np.ndarray) -> np.ndarray:
 
 def names_of(columns: str) -> list[str]:
     return [c.split()[0] for c in columns.split(", ")]
+
+
+def cuts(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of each run of a sorted array."""
+    starts = np.flatnonzero(np.diff(parts, prepend=-1))
+    return zip(parts[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(parts)])

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.blocks import names_of, pack, pack_floats, spread, unpack, unpack_floats
+from touchline.llm.blocks import cuts, names_of, pack, pack_floats, spread, unpack, unpack_floats
 from touchline.llm.common import text_of, tidy_shuffles, type_of
 from touchline.session import materialize
 
@@ -47,13 +47,14 @@ class Settings:
 
     order: int = 2
     largest: int = 5
-    chunk_chars: int = 8_000_000
-    part_grams: int = 250_000
-    split: int = 30_000
+    chunk_chars: int = 12_000_000
+    part_grams: int = 1_000_000
+    split: int = 100_000
 
 
 def word_parts(words: Sequence[bytes], parts: int) -> np.ndarray:
-    return (spread(np.fromiter(map(zlib.crc32, words), np.int64, len(words))) % np.uint64(parts)).astype(np.int64)
+    """Parts rise with the words' hashes, the order in which a chunk lists its words."""
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * parts >> 32
 
 
 # Good-Turing discounts
@@ -129,7 +130,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column, settings:
         def row(out_type):
             words = list(known)
             place = np.empty(len(words), np.int64)
-            order = sorted(range(len(words)), key=words.__getitem__)
+            order = sorted(range(len(words)), key=lambda i: (zlib.crc32(words[i]), words[i]))
             place[order] = np.arange(len(words))
             local = place[np.concatenate(tokens)]
             mine = np.repeat(np.array(kept, bool), np.diff(np.array(ends), prepend=0))
@@ -207,11 +208,9 @@ class Chunk:
     def _level(self, n: int, level: Level, replies: pd.DataFrame) -> dict:
         if n == 1:
             found = {"id": np.full(self.n_words, UNKNOWN), "count": np.zeros(self.n_words, np.int64)}
-            words = zstandard.decompress(self.row.words).split(b"\n")
-            parts = word_parts(words, int(replies["parts"].iloc[0])) if len(replies) else None
-            for r in replies.itertuples():
-                where = np.flatnonzero(parts == r.part)
-                found["id"][where], found["count"][where] = unpack(r.ids), unpack(r.counts)
+            if len(replies):
+                replies = replies.sort_values("part")
+                found = {"id": np.concatenate(replies["ids"].map(unpack).tolist()), "count": np.concatenate(replies["counts"].map(unpack).tolist())}
             found["id"][found["count"] == 0] = UNKNOWN
             return found | {"at": self.tokens, "p": level.words(found["count"])[self.tokens]}
         k = self.keys(n)
@@ -220,14 +219,12 @@ class Chunk:
         sums = replies[replies["part"].isna()]
         replies = replies[replies["part"].notna()]
         if len(replies):
-            parts = gram_parts(k, int(replies["parts"].iloc[0]), int(replies["split"].iloc[0]))
-            order = np.lexsort((k["word"], k["context"]))
-            for r in replies.itertuples():
-                where = order[parts[order] == r.part]
-                ids[where], counts[where] = unpack(r.ids), unpack(r.counts)
-                w = np.ones(len(where))
-                w[counts[where] == 0] = unpack_floats(r.weights)
-                weight[where], spare[where] = w, unpack(r.spare).astype(bool)
+            replies = replies.sort_values("part")
+            part = gram_parts(k, int(replies["parts"].iloc[0]), int(replies["split"].iloc[0]))
+            order = np.lexsort((k["word"], k["context"], part))
+            for name, values in (("ids", ids), ("counts", counts), ("spare", spare)):
+                values[order] = np.concatenate(replies[name].map(unpack).tolist())
+            weight[order[counts[order] == 0]] = np.concatenate(replies["weights"].map(unpack_floats).tolist())
         if len(sums):  # contexts dealt over several parts
             known = dict(zip(sums["context"].astype("int64"), zip(sums["weight"], sums["kept"])))
             for i in np.flatnonzero(k["context_count"] > int(sums["split"].iloc[0])):
@@ -260,12 +257,10 @@ def _requests(texts: DataFrame, replies: DataFrame | None, levels: Sequence[Leve
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                found = np.array(zstandard.decompress(r.words).split(b"\n"), object)
-                counts, part = unpack(r.counts), word_parts(found, parts)
-                rows = []
-                for p in np.unique(part):
-                    where = part == p
-                    rows.append((int(p), r.chunk, b"", zstandard.compress(b"\n".join(found[where]), 1), pack(counts[where]), b"", b""))
+                found = zstandard.decompress(r.words).split(b"\n")
+                counts, rows = unpack(r.counts), []
+                for p, a, b in cuts(word_parts(found, parts)):
+                    rows.append((p, r.chunk, b"", zstandard.compress(b"\n".join(found[a:b]), 1), pack(counts[a:b]), b"", b""))
                 yield pd.DataFrame(rows, columns=names_of(REQUEST))
 
     if replies is None:
@@ -277,16 +272,15 @@ def _requests(texts: DataFrame, replies: DataFrame | None, levels: Sequence[Leve
             k = Chunk(r, said, levels, starts).keys(len(levels) + 1)
             part = gram_parts(k, parts, split)
             order = np.lexsort((k["word"], k["context"], part))
-            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            for p, a, b in cuts(part[order]):
                 o = order[a:b]
                 context = k["context"][o]
                 hot = np.unique(context[k["context_count"][o] > split])
-                rows.append((int(part[o[0]]), r.chunk, pack(np.diff(context, prepend=0)), pack(k["word"][o]), pack(k["mine"][o]),
+                rows.append((p, r.chunk, pack(np.diff(context, prepend=0)), pack(k["word"][o]), pack(k["mine"][o]),
                              pack_floats(k["lower"][o]), pack(hot)))
         return pd.DataFrame(rows, columns=names_of(REQUEST))
 
-    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(grams, REQUEST)
+    return texts.drop("words").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(grams, REQUEST)
 
 
 def _merge(requests: DataFrame, largest: int) -> DataFrame:
@@ -433,8 +427,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             *seen, occurrences, kinds = [int(x or 0) for x in total]
             levels.append(Level.of(seen, occurrences, kinds, settings.largest))
             tables.append(merged)
-            answers = _replies(merged, n, levels[-1], parts, settings)
-            replies.append(materialize(answers) if n < settings.order else answers)
+            replies.append(_replies(merged, n, levels[-1], parts, settings))
     return Model(texts, tables, replies, levels, starts, settings)
 
 
@@ -478,7 +471,7 @@ def score(model: Model) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({f: [] for f in schema.names})
 
     told = reduce(DataFrame.unionByName, model.replies)
-    return model.texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scored, schema)
+    return model.texts.drop("words", "counts").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scored, schema)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
