@@ -6,6 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from touchline.config import NUMERIC_FEATURES, FeatureConfig
+from touchline.operators import rolling
 from touchline.plans import features as ft
 from touchline.session import materialize
 
@@ -99,9 +100,12 @@ def test_later_matches_change_nothing_before(spark, batch):
     assert a.select(*cols).exceptAll(b.select(*cols)).isEmpty()
 
 
-def test_hot_teams_take_the_other_path(batch):
+def test_block_sizes_do_not_matter(batch, monkeypatch):
     rows = materialize(ft.team_rows(batch["matches"]))
-    a, b = (ft.side_features(rows, FeatureConfig(max_group_rows=n)) for n in (10**9, 100))
+    a = ft.side_features(rows, FeatureConfig())
+    monkeypatch.setattr(rolling, "FADE", 15.0)
+    monkeypatch.setattr(rolling, "FAN", 4)
+    b = ft.side_features(rows, FeatureConfig())
     cols = [c if c in ("row_idx", "team", "is_home") else F.round(c, 9).alias(c) for c in a.columns]
     a, b = materialize(a.select(*cols)), materialize(b.select(*cols))
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()

@@ -1,4 +1,4 @@
-"""Block scan against a sequential fold, on the shared path and on the path for hot keys."""
+"""The block scan against a sequential fold, with blocks of all sizes and runs of blocks several levels high."""
 
 import datetime as dt
 import math
@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.operators import rolling
 from touchline.operators.rolling import Trackers, ema_prior, prior_states
 
 START = dt.datetime(2020, 1, 1)
@@ -35,12 +36,14 @@ SCHEMA = "key string, pos long, x long, y double, flag boolean, at timestamp_ntz
 
 
 @pytest.mark.parametrize("alpha", [0.2, 0.03, 0.9, 1.0])
-@pytest.mark.parametrize("limit", [10**9, 64])
-def test_equals_sequential_fold(spark, alpha, limit):
+@pytest.mark.parametrize("fade, fan", [(230.0, 128), (9.0, 3)])
+def test_equals_sequential_fold(spark, monkeypatch, alpha, fade, fan):
+    monkeypatch.setattr(rolling, "FADE", fade)
+    monkeypatch.setattr(rolling, "FAN", fan)
     rows = rows_for(1)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     groups = [Trackers({"ex": "x"}, "nx", alpha), Trackers({"ey": "y"}, "ny", alpha), Trackers({"ef": "x"}, "nf", alpha, ("flag",))]
-    got = {(r.key, r.pos): r for r in prior_states(df, ["key"], ["pos"], groups, ("at", "prev", 3), limit).collect()}
+    got = {(r.key, r.pos): r for r in prior_states(df, ["key"], ["pos"], groups, ("at", "prev", 3)).collect()}
     assert len(got) == len(rows)
     for key in "abc":
         mine = sorted(r for r in rows if r[0] == key)
@@ -59,10 +62,12 @@ def test_equals_sequential_fold(spark, alpha, limit):
             by_flag[r[4]].append(r[2])
 
 
-def test_hot_key_with_no_observation_for_long(spark):
+def test_key_with_no_observation_for_long(spark, monkeypatch):
+    monkeypatch.setattr(rolling, "FADE", 20.0)
+    monkeypatch.setattr(rolling, "FAN", 4)
     rows = [("a", i, 0, 5.0 if i < 3 else None, True, START) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = ema_prior(df, ["key"], ["pos"], "y", 0.5, max_group_rows=50).where("pos >= 3")
+    got = ema_prior(df, ["key"], ["pos"], "y", 0.5).where("pos >= 3")
     assert got.agg(F.min("ema"), F.max("ema"), F.count("ema")).first() == (5.0, 5.0, 397)
 
 
@@ -72,6 +77,19 @@ def test_partitioning_does_not_matter(spark):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_any_order_null_keys_and_one_row_per_block(spark, monkeypatch):
+    monkeypatch.setattr(rolling, "FADE", 0.1)
+    monkeypatch.setattr(rolling, "FAN", 2)
+    rows = [(None if k == "b" else k, *rest) for k, *rest in rows_for(4, (("a", 60), ("b", 30)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for order in (["pos"], ["at", "pos"]):
+        got = {(r.key, r.pos): r.ema for r in ema_prior(df, ["key"], order, "x", 0.2).collect()}
+        for key in ("a", None):
+            mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+            assert all(same(got[key, r[1]], want) for r, want in zip(mine, fold([r[2] for r in mine], 0.2)))
+    assert ema_prior(df.limit(0), ["key"], ["pos"], "x", 0.2).count() == 0
+
+
 def test_alpha_out_of_range(spark):
     df = spark.createDataFrame(rows_for(3), SCHEMA)
     with pytest.raises(ValueError):
@@ -93,14 +111,15 @@ EXTREMES = {
 }
 
 
-@pytest.mark.parametrize("limit", [10**9, 100])
+@pytest.mark.parametrize("fade", [230.0, 25.0])
 @pytest.mark.parametrize("alpha", [0.2, 0.03, 0.9])
-def test_extreme_values_equal_the_fold(spark, limit, alpha):
+def test_extreme_values_equal_the_fold(spark, monkeypatch, fade, alpha):
+    monkeypatch.setattr(rolling, "FADE", fade)
     rows, want = [], {}
     for key, odd in EXTREMES.items():
         values = [odd.get(i, 1.0) for i in range(700)]
         rows += [(key, i, 0, v, True, START) for i, v in enumerate(values)]
         want[key] = fold(values, alpha)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    for r in ema_prior(df, ["key"], ["pos"], "y", alpha, max_group_rows=limit).collect():
+    for r in ema_prior(df, ["key"], ["pos"], "y", alpha).collect():
         assert same(r.ema, want[r.key][r.pos]), (r.key, r.pos)

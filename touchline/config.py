@@ -38,8 +38,6 @@ class FeatureConfig:
     congestion_memory: int = 15
     h2h_played_cap: int = 10
     name_threshold: float = 0.40
-    # A key with more rows than this is scanned in chunks spread over many tasks.
-    max_group_rows: int = 2_000_000
 
 
 @dataclass(frozen=True)

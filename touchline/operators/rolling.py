@@ -1,19 +1,14 @@
-"""Strictly prior rolling state per key: moving averages, counts and the last few dates.
+"""Strictly prior rolling state per key: moving averages, counts and the last few dates, as an associative scan.
 
-One EMA step is affine, so a history can be cut into blocks. With q = 1 - alpha and j the position of
-an observation in its block, the value before a row is
+One EMA step is affine, so any run of observations is one map ``state -> q**n * state + end`` with q = 1 - alpha, and two
+runs one after the other are one such map again. Rows are cut into blocks of consecutive order numbers:
 
-    q**j * (carry + sum over earlier observations m of the block of c_m * x_m * q**-(m+1))
+* up: each (key, block) becomes one row with its map; blocks are put together in runs of ``FAN``, those again, until one run is left;
+* down: the states at the ends of runs go back to the blocks, so each (key, block) knows the state it starts from;
+* each row adds what its own block holds before it.
 
-where c is 1 for the very first observation of the key and alpha after that, and carry is the average at
-the end of the previous block: the sums at the ends of the blocks before, each weighted by q**length per block in
-between. ``Trackers.reach`` blocks are added up; beyond them the weight of any finite double underflows. Powers are taken
-from the middle of a block, so they neither overflow nor underflow. NaN and infinite values never fade: they are left
-out of the sums, and what has been seen of them decides the average from then on.
-
-Keys with few rows share one shuffle by key. A key with more than ``max_group_rows`` rows is cut into
-chunks of its own order: counts are summed per chunk, averages are worked out per (key, block), and
-each row looks its prior state up by observation number. No task then holds a whole hot key.
+A key's history so never lies in one task: its rows are dealt by (key, block), and a block has at most ``span`` rows of a key.
+The start of a key's history is its first value, from which the first step leads to itself. NaN and infinities never fade.
 """
 
 from __future__ import annotations
@@ -21,15 +16,17 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from touchline.operators.ordering import row_index
 from touchline.session import materialize
 
-_BEFORE = (Window.unboundedPreceding, -1)
+#: Blocks (and runs of blocks) that are put together at a time.
+FAN = 128
+#: Weights inside a block stay above exp(-FADE), so no product underflows for values above 1e-200, and none is above one.
+FADE = 230.0
 
 
 @dataclass(frozen=True)
@@ -52,208 +49,183 @@ class Trackers:
         return max(1.0 - self.alpha, 1e-12)
 
     @property
-    def block(self) -> int:
-        rate = -math.log(self.decay)
-        return max(16, min(math.ceil(41.5 / rate), math.floor(460.0 / rate)))
-
-    @property
-    def reach(self) -> int:
-        """Blocks until q**length per block has taken the largest double below the smallest."""
-        return math.ceil((math.log(1.79e308) - math.log(4.9e-324)) / (-math.log(self.decay) * self.block)) + 1
+    def span(self) -> int:
+        """Most observations of a block."""
+        return max(2, min(1_000_000, math.floor(FADE / -math.log(self.decay))))
 
     @property
     def observed(self) -> Column:
         return F.col(next(iter(self.values.values()))).isNotNull()
 
 
-NAN, UP, DOWN = 1, 2, 4
+def _fade(decay: float, steps: Column) -> Column:
+    return F.pow(F.lit(decay), steps.cast("double"))
 
 
-def _finite(value: str) -> Column:
-    x = F.col(value).cast("double")
-    return F.when(F.abs(x) < float("inf"), x).when(x.isNotNull(), 0.0)
+def _held(weight: Column, state: Column) -> Column:
+    """A state after it has faded; what never fades stays."""
+    return F.when(F.isnan(state) | (F.abs(state) == float("inf")), state).otherwise(weight * state)
 
 
-def _odd(value: str) -> Column:
-    """Which of NaN, infinity and its negative the value is, as a bit; null for a missing value."""
-    x = F.col(value).cast("double")
-    return F.when(F.isnan(x), NAN).when(x == float("inf"), UP).when(x == float("-inf"), DOWN).when(x.isNotNull(), 0)
+def prior_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], trackers: Sequence[Trackers],
+                 recent: tuple[str, str, int] | None = None) -> DataFrame:
+    """``rows`` plus, for each tracker group, the prior count and the prior averages (null when unset).
 
+    ``recent`` = (column, prefix, n) adds the last n prior values of a column as prefix_1 (latest) to prefix_n. ``order`` must be a
+    total order inside a key; one dense whole number, such as the row index, is used as it is, anything else is numbered first.
+    ``rows`` is read once per set of ``by`` columns for the blocks' maps, on its own columns only, and once for the result.
+    """
+    keys, whole = list(keys), T.ByteType | T.ShortType | T.IntegerType | T.LongType
+    dense = len(order) == 1 and isinstance(rows.schema[order[0]].dataType, whole)
+    base, at = (rows, order[0]) if dense else (row_index(rows, list(order), "_at"), "_at")
+    span = min([t.span for t in trackers], default=1000)
+    base = base.withColumn("_b", F.floor(F.col(at) / F.lit(span)))
+    sets = {by: [t for t in trackers if t.by == by] for by in dict.fromkeys([*([()] if recent else []), *[t.by for t in trackers]])}
+    out = base
+    for by, group in sets.items():  # the windows refine the partitioning by (key, block)
+        out = _inside(out, [*keys, *by, "_b"], at, span, group)
+    if recent:
+        out = _last_inside(out, [*keys, "_b"], at, recent)
+    for by, group in sets.items():
+        mine = recent if recent and by == () else None
+        carried = _carried(base, [*keys, *by], at, span, group, mine)
+        out = _join_blocks(out, carried, [*keys, *by, "_b"])
+        out = out.withColumns({o: c for t in group for o, c in _row_states(t, span).items()})
+        if mine:
+            out = out.withColumns(_recent_columns(recent))
+        out = out.drop("_start", *[f"_{x}_{o}" for t in group for x, names in (("j", [t.count]), ("s", t.values)) for o in names])
+    if recent:
+        out = out.drop("_p", *[f"_l_{i}" for i in range(1, recent[2] + 1)])
+    return out.drop("_b", *([] if dense else ["_at"]))
 
-def _with_odd(state: Column, seen: Column) -> Column:
-    """The state, unless a value that never fades has been seen."""
-    return (F.when(state.isNull() | seen.isNull() | (seen == 0), state).when(seen == UP, float("inf"))
-            .when(seen == DOWN, float("-inf")).otherwise(float("nan")))
 
+def _scaled(t: Trackers, value: str, span: int) -> Column:
+    """A value by its weight at the end of a full block."""
+    return F.col(value).cast("double") * float(t.alpha) * _fade(t.decay, F.lit(span) - 1 - F.col(f"_j_{t.count}"))
 
-def _scaled(t: Trackers, value: str, k: Column, j: Column) -> Column:
-    weight = F.when(k == 0, 1.0).otherwise(float(t.alpha))
-    return _finite(value) * weight * F.pow(F.lit(t.decay), (F.lit(t.block // 2) - (j + 1)).cast("double"))
 
+def _inside(df: DataFrame, on: list[str], at: str, span: int, group: Sequence[Trackers]) -> DataFrame:
+    """Adds, per tracker, the block's observations before the row and their weighted sums."""
+    before = Window.partitionBy(*on).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({f"_j_{t.count}": F.count(F.when(t.observed, 1)).over(before) for t in group}) if group else df
+    return out.withColumns({f"_s_{o}": F.coalesce(F.sum(_scaled(t, v, span)).over(before), F.lit(0.0)) for t in group for o, v in t.values.items()})
 
-def _power(t: Trackers, steps: Column) -> Column:
-    """What turns a scaled sum into the average after so many observations of its block."""
-    return F.pow(F.lit(t.decay), (steps - F.lit(t.block // 2)).cast("double"))
 
+def _last_inside(df: DataFrame, on: list[str], at: str, recent: tuple[str, str, int]) -> DataFrame:
+    column, _, n = recent
+    window = Window.partitionBy(*on).orderBy(at)
+    return df.withColumns({"_p": F.row_number().over(window) - 1} | {f"_l_{i}": F.lag(column, i).over(window) for i in range(1, n + 1)})
 
-def _faded(t: Trackers, blocks: Column) -> Column:
-    """Weight of a block's end after so many further blocks."""
-    return F.pow(F.lit(t.decay), (blocks * F.lit(t.block)).cast("double"))
 
+def _row_states(t: Trackers, span: int) -> dict[str, Column]:
+    j, known = F.col(f"_j_{t.count}"), F.col(f"_start.n_{t.count}")
 
-def _position(t: Trackers) -> tuple[Column, Column, Column]:
-    k = F.col(t.count)
-    return k, F.floor(k / F.lit(t.block)), F.pmod(k, F.lit(t.block))
+    def state(o: str) -> Column:
+        inside = _fade(t.decay, j - F.lit(span)) * F.col(f"_s_{o}")
+        return F.when(known + j > 0, _held(_fade(t.decay, j), F.col(f"_start.e_{o}")) + inside)
 
+    return {o: state(o) for o in t.values} | {t.count: known + j}
 
-def prior_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], trackers: Sequence[Trackers],
-                 recent: tuple[str, str, int] | None = None, max_group_rows: int = 2_000_000) -> DataFrame:
-    """``rows`` plus, for each tracker group, the prior count and the prior averages (null when unset).
 
-    ``recent`` = (column, prefix, n) adds the last n prior values of a column as prefix_1 (latest) to
-    prefix_n. ``order`` must be a total order inside a key.
-    """
-    hot_keys = rows.groupBy(*keys).count().where(F.col("count") > max_group_rows).select(*keys)
-    if hot_keys.isEmpty():
-        return _by_key(rows, keys, order, trackers, recent)
-    same_key = [rows[k].eqNullSafe(hot_keys[k]) for k in keys]
-    cold = _by_key(rows.join(hot_keys, same_key, "left_anti"), keys, order, trackers, recent)
-    hot = _by_chunk(rows.join(hot_keys, same_key, "left_semi"), keys, order, trackers, recent, max_group_rows)
-    return cold.unionByName(hot)
-
-
-def _by_key(rows, keys, order, trackers, recent):
-    """All windows refine the partitioning by key, so one shuffle serves them all."""
-    base = {}
-    if recent:
-        column, prefix, n = recent
-        by_key = Window.partitionBy(*keys).orderBy(*order)
-        base = {f"{prefix}_{i}": F.lag(column, i).over(by_key) for i in range(1, n + 1)}
-    out = rows.withColumns(base | {
-        t.count: F.count(F.when(t.observed, 1)).over(
-            Window.partitionBy(*keys, *t.by).orderBy(*order).rowsBetween(*_BEFORE))
-        for t in trackers
-    })
-    for t in trackers:
-        k, block, j = _position(t)
-        out = out.withColumns({"_b": block, "_j": j})
-        inside = Window.partitionBy(*keys, *t.by, "_b").orderBy(*order).rowsBetween(*_BEFORE)
-        before = Window.partitionBy(*keys, *t.by).orderBy(*order).rowsBetween(*_BEFORE)
-        ended = Window.partitionBy(*keys, *t.by).orderBy("_b").rangeBetween(-t.reach, -1)
-        sums = {f"_s_{o}": F.coalesce(F.sum(_scaled(t, v, k, F.col("_j"))).over(inside), F.lit(0.0))
-                for o, v in t.values.items()}
-        out = out.withColumns(sums | {f"_f_{o}": F.bit_or(_odd(v)).over(before) for o, v in t.values.items()})
-        closes = t.observed & (F.col("_j") == t.block - 1)
-        ends = [(_power(t, F.lit(t.block)) * (F.col(f"_s_{o}") + _scaled(t, v, k, F.col("_j")))).alias(f"_e_{o}")
-                for o, v in t.values.items()]
-        out = out.withColumn("_ends", F.collect_list(F.when(closes, F.struct("_b", *ends))).over(ended))
-        # The carry is worked out on the rows that open a block and read by the others.
-        since = Window.partitionBy(*keys, *t.by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-        def carry(o: str) -> Column:
-            def add_end(total: Column, e: Column) -> Column:
-                return total + _faded(t, F.col("_b") - 1 - e["_b"]) * e[f"_e_{o}"]
-
-            return F.first(F.when(F.col("_j") == 0, F.aggregate("_ends", F.lit(0.0), add_end)), ignorenulls=True).over(since)
-
-        out = out.withColumns({f"_c_{o}": carry(o) for o in t.values})
-        fade = F.pow(F.lit(t.decay), F.col("_j").cast("double"))
-        out = out.withColumns({
-            o: F.when(k > 0, _with_odd(_power(t, F.col("_j")) * F.col(f"_s_{o}") + fade * F.coalesce(f"_c_{o}", F.lit(0.0)), F.col(f"_f_{o}")))
-            for o in t.values
-        }).drop("_b", "_j", "_ends", *sums, *[f"_{x}_{o}" for o in t.values for x in ("f", "c")])
-    return out
-
-
-def _by_chunk(rows, keys, order, trackers, recent, chunk_rows):
-    keys = list(keys)
-    base = row_index(rows, [*keys, *order], "_at").withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_rows)))
-    groups = [Trackers({}, "_seen"), *trackers] if recent else list(trackers)
-    counted = base
-    for by in dict.fromkeys(t.by for t in groups):
-        counted = _prior_counts(counted, base, [*keys, *by], [t for t in groups if t.by == by])
-    counted = materialize(counted)  # several steps read it
-    out = counted
-    for t in groups:
-        on = [*keys, *t.by]
-        left, right = out.alias("l"), _states(counted, on, t, recent if t.count == "_seen" else None).alias("r")
-        match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
-        match.append(F.col(f"l.{t.count}") == F.col("r._k"))
-        produced = ["_recent"] if t.count == "_seen" else list(t.values)
-        out = left.join(right, match, "left").select("l.*", *[F.col(f"r.{c}") for c in produced])
-    if recent:
-        _, prefix, n = recent
-        out = out.withColumns({
-            f"{prefix}_{i}": F.try_element_at("_recent", F.lit(-i)) for i in range(1, n + 1)}).drop("_seen", "_recent")
-    return out.drop("_at", "_chunk")
-
-
-def _observed(t: Trackers) -> Column:
-    return t.observed if t.values else F.lit(True)
-
-
-def _prior_counts(rows: DataFrame, base: DataFrame, keys: list[str], trackers: Sequence[Trackers]) -> DataFrame:
-    """Prior observations of the key: inside the chunk by a window, before it from the chunk totals."""
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
-    totals = base.groupBy(*keys, "_chunk").agg(
-        *[F.count(F.when(_observed(t), 1)).alias(f"_n_{t.count}") for t in trackers]
-    ).withColumns({
-        f"_n_{t.count}": F.coalesce(F.sum(f"_n_{t.count}").over(earlier), F.lit(0)) for t in trackers})
-    left, right = rows.alias("l"), totals.alias("r")
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, "_chunk"]]
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at").rowsBetween(*_BEFORE)
-    return left.join(right, on).select("l.*", *[f"r._n_{t.count}" for t in trackers]).withColumns({
-        t.count: F.col(f"_n_{t.count}") + F.count(F.when(_observed(t), 1)).over(inside) for t in trackers
-    }).drop(*[f"_n_{t.count}" for t in trackers])
-
-
-def _states(rows: DataFrame, keys: list[str], t: Trackers, recent) -> DataFrame:
-    """State after each observation, keyed by the number of observations it has seen (``_k``)."""
-    k, block, j = _position(t)
-    obs = rows.where(_observed(t)).select(
-        *keys, "_at", t.count, block.alias("_b"), j.alias("_j"), *dict.fromkeys(t.values.values()),
-        *([F.col(recent[0]).alias("_recent_value")] if recent else []))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_at")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    after, faded = F.col("_j") + 1, F.pow(F.lit(t.decay), (F.col("_j") + 1).cast("double"))
-    local = {o: _power(t, after) * F.sum(_scaled(t, v, k, F.col("_j"))).over(upto) for o, v in t.values.items()}
+def _recent_columns(recent: tuple[str, str, int]) -> dict[str, Column]:
+    _, prefix, n = recent
+    earlier = F.col("_start.recent")  # oldest first
+
+    def value(i: int) -> Column:
+        return F.when(F.col("_p") >= i, F.col(f"_l_{i}")).otherwise(F.get(earlier, F.size(earlier) - F.lit(i) + F.col("_p"))["v"])
+
+    return {f"{prefix}_{i}": value(i) for i in range(1, n + 1)}
+
+
+def _join_blocks(rows: DataFrame, carried: DataFrame, on: list[str]) -> DataFrame:
+    match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
+    return rows.alias("l").join(carried.alias("r"), match, "left").select("l.*", "r._start")
+
+
+def _block_maps(base: DataFrame, on: list[str], at: str, span: int, group: Sequence[Trackers], recent) -> DataFrame:
+    """One row per (key, block): observations, where a block's values lead, the first value, the last values of ``recent``."""
+    columns = dict.fromkeys([*on, "_b", at, *[v for t in group for v in t.values.values()], *([recent[0]] if recent else [])])
+    inside = _inside(base.select(*columns), [*on, "_b"], at, span, group)
+    fields = []
+    for t in group:
+        n = F.count(F.when(t.observed, 1))
+        fields.append(n.alias(f"n_{t.count}"))
+        for o, v in t.values.items():
+            fields.append((_fade(t.decay, n - F.lit(span)) * F.coalesce(F.sum(_scaled(t, v, span)), F.lit(0.0))).alias(f"end_{o}"))
+            fields.append(F.min_by(F.col(v).cast("double"), F.when(t.observed, F.col(at))).alias(f"first_{o}"))
     if recent:
-        local["_list"] = F.collect_list("_recent_value").over(inside.rowsBetween(-(recent[2] - 1), 0))
-    odd = {f"_f_{o}": _odd(v) for o, v in t.values.items()}
-    obs = obs.withColumns(local | odd)
-    names = list(local)
-    closed = obs.where(F.col("_j") == t.block - 1)
-    left = obs.alias("l")
-
-    def blocks_match(side: str) -> list[Column]:
-        return [F.col(f"l.{c}").eqNullSafe(F.col(f"{side}.{c}")) for c in [*keys, "_b"]]
-
-    if t.values:  # every end reaches the blocks after it, so a block's carry is one sum
-        later = closed.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(t.reach)))).groupBy(
-            *keys, (F.col("_b") + F.col("_i")).alias("_b")).agg(
-            *[F.sum(F.col(o) * _faded(t, F.col("_i") - 1)).alias(f"_c_{o}") for o in t.values])
-        rare = obs.where(reduce(lambda a, b: a | b, [F.col(f) != 0 for f in odd])).groupBy(*keys).agg(*[
-            F.min(F.when(F.col(f).bitwiseAND(F.lit(b)) != 0, F.col(t.count))).alias(f"{f}_{b}") for f in odd for b in (NAN, UP, DOWN)])
-        left = left.join(later.alias("r"), blocks_match("r"), "left").select("l.*", *[f"r._c_{o}" for o in t.values]).alias("l")
-        left = left.join(rare.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys], "left").select(
-            "l.*", *[f"r.{f}_{b}" for f in odd for b in (NAN, UP, DOWN)]).alias("l")
+        last = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(recent[0]).alias("v"))))  # a block is bounded
+        fields.append(F.slice(last, F.greatest(F.size(last) - recent[2] + 1, F.lit(1)), recent[2]).alias("recent"))
+    return inside.groupBy(*on, "_b").agg(F.struct(*fields).alias("m"))
+
+
+def _carried(base: DataFrame, on: list[str], at: str, span: int, group: Sequence[Trackers], recent) -> DataFrame:
+    """(key, block, _start): the state each block starts from; its average is the key's first value where nothing came before."""
+    maps = materialize(_block_maps(base, on, at, span, group, recent))
+    kind = maps.schema["m"].dataType
+    first, last = maps.agg(F.min("_b"), F.max("_b")).first()
+    decay = {o: t.decay for t in group for o in t.values}
+    count = {o: f"n_{t.count}" for t in group for o in t.values}
+    keep = recent[2] if recent else 0
+
+    def both(a: Column, b: Column) -> Column:
+        """The map of one run followed by another's."""
+        fields = [(a[f"n_{t.count}"] + b[f"n_{t.count}"]).alias(f"n_{t.count}") for t in group]
+        for o in decay:
+            faded = _held(_fade(decay[o], b[count[o]]), a[f"end_{o}"])
+            fields += [(faded + b[f"end_{o}"]).alias(f"end_{o}"), F.coalesce(a[f"first_{o}"], b[f"first_{o}"]).alias(f"first_{o}")]
+        if recent:
+            joined = F.concat(a["recent"], b["recent"])
+            fields.append(F.slice(joined, F.greatest(F.size(joined) - keep + 1, F.lit(1)), keep).alias("recent"))
+        # In the order and with the types of the maps, as the fold asks for.
+        named = dict(zip(_names(group, recent), fields))
+        return F.struct(*[named[f.name].cast(f.dataType).alias(f.name) for f in kind.fields]).cast(kind)
+
+    def nothing() -> Column:
+        def zero(f: T.StructField) -> Column:
+            value = F.array() if f.name == "recent" else F.lit(None) if f.name.startswith("first_") else F.lit(0)
+            return value.cast(f.dataType).alias(f.name)
+
+        return F.struct(*[zero(f) for f in kind.fields]).cast(kind)
+
+    def incoming(level: DataFrame, blocks: int) -> DataFrame:
+        """(key, _b, before): the map of everything before each block of the level."""
+        runs = level.withColumn("_u", F.floor(F.col("_b") / F.lit(FAN))).groupBy(*on, "_u").agg(
+            F.array_sort(F.collect_list(F.struct("_b", "m")), lambda x, y: (x["_b"] - y["_b"]).cast("int")).alias("l"))  # at most FAN
+        if blocks > FAN:
+            runs = materialize(runs)
+            whole = runs.select(*on, F.col("_u").alias("_b"), F.aggregate("l", nothing(), lambda s, x: both(s, x["m"])).alias("m"))
+            above = incoming(whole, -(-blocks // FAN)).withColumnRenamed("_b", "_u")
+            match = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*on, "_u"]]
+            runs = runs.alias("l").join(above.alias("r"), match).select("l.*", "r.before")
+        else:
+            runs = runs.withColumn("before", nothing())
+        steps = F.transform("l", lambda x, i: F.struct(x["_b"].alias("_b"), F.aggregate(
+            F.slice("l", F.lit(1), i), F.col("before"), lambda s, y: both(s, y["m"])).alias("before"), x["m"].alias("m")))
+        return runs.select(*on, F.inline(steps)).select(*on, "_b", "before", "m")
+
+    moved = maps.withColumn("_b", F.col("_b") - F.lit(first or 0))
+    found = incoming(moved, (last or 0) - (first or 0) + 1)
+
+    def start(o: str) -> Column:
+        """Where the state stands: from the history's first value through all maps before the block."""
+        b, n = F.col("before"), F.col("before")[count[o]]
+        begun = F.coalesce(b[f"first_{o}"], F.col("m")[f"first_{o}"])
+        return F.when(n > 0, _held(_fade(decay[o], n), begun) + b[f"end_{o}"]).otherwise(begun)
+
+    fields = [F.col("before")[f"n_{t.count}"].alias(f"n_{t.count}") for t in group] + [start(o).alias(f"e_{o}") for o in decay]
     if recent:
-        ends = closed.select(*keys, (F.col("_b") + 1).alias("_b"), F.col("_list").alias("_c__list"))
-        left = left.join(ends.alias("e"), blocks_match("e"), "left").select("l.*", "e._c__list").alias("l")
+        fields.append(F.col("before")["recent"].alias("recent"))
+    # Written, so its size decides how it is joined.
+    return materialize(found.select(*on, (F.col("_b") + F.lit(first or 0)).alias("_b"), F.struct(*fields).alias("_start")))
 
-    def seen(o: str) -> Column:
-        """Kinds of values that never fade, among the observations so far."""
-        return reduce(add, [F.when(F.col(f"_f_{o}_{b}") <= F.col(t.count), b).otherwise(0) for b in (NAN, UP, DOWN)])
 
-    states = {o: _with_odd(faded * F.coalesce(F.col(f"_c_{o}"), F.lit(0.0)) + F.col(o), seen(o)) for o in t.values}
-    if recent:
-        both = F.concat(F.coalesce(F.col("_c__list"), F.array()), F.col("_list"))
-        states["_recent"] = F.slice(both, F.greatest(F.size(both) - recent[2] + 1, F.lit(1)), recent[2])
-    return left.select(*keys, (F.col(t.count) + 1).alias("_k"), *[c.alias(o) for o, c in states.items()])
+def _names(group: Sequence[Trackers], recent) -> list[str]:
+    """Fields of ``both`` in the order it makes them."""
+    counts = [f"n_{t.count}" for t in group]
+    return counts + [f"{x}_{o}" for t in group for o in t.values for x in ("end", "first")] + (["recent"] if recent else [])
 
 
-def ema_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float,
-              name: str = "ema", max_group_rows: int = 2_000_000) -> DataFrame:
+def ema_prior(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float, name: str = "ema") -> DataFrame:
     """Exponential moving average over strictly prior rows; nulls leave it unchanged, null when unset."""
-    return prior_states(df, keys, order, [Trackers({name: value}, "_obs", alpha)],
-                        max_group_rows=max_group_rows).drop("_obs")
+    return prior_states(df, keys, order, [Trackers({name: value}, "_obs", alpha)]).drop("_obs")

@@ -5,6 +5,7 @@ Each reads whole tables. Floats are rounded to six decimals on both sides; addin
 
 from __future__ import annotations
 
+from touchline.config import NUMERIC_FEATURES
 from touchline.views import as_ctes
 
 ALPHA, ELO_BASE, ELO_K = "0.2e0", "1500e0", "20e0"
@@ -327,6 +328,10 @@ rho_losses AS (SELECT l_orderkey % 5 AS league_idx, q.rho, avg(-ln(greatest(1e-9
                FROM v_predictions v JOIN masses q ON q.rate_home = v.rate_home AND q.rate_away = v.rate_away GROUP BY ALL)"""
 
 
+TRAIN = """
+train AS (SELECT *, pow(0.5e0, date_diff('day', CAST(date AS DATE), max(CAST(date AS DATE)) OVER ()) / 390e0) AS w
+          FROM m WHERE row_idx < (SELECT floor(count(*) * 0.7e0) FROM m))"""
+
 HISTORY = {"val_accuracy": "val_accuracy", "val_log_loss": "val_log_loss", "val_macro_f1": "val_accuracy * 0.7137e0",
            "test_accuracy": "val_accuracy * 0.3713e0", "test_log_loss": "val_log_loss * 0.5717e0", "test_rps": "val_log_loss * 0.2917e0",
            "test_macro_f1": "val_accuracy * 0.1319e0"}
@@ -421,7 +426,19 @@ WHERE side = 'l' AND NOT EXISTS (SELECT 1 FROM club c WHERE c.block = n.block AN
 SELECT DISTINCT team FROM (SELECT home_team AS team FROM v_schedule UNION SELECT away_team FROM v_schedule) t
 WHERE team IN (SELECT home_team FROM m UNION SELECT away_team FROM m)""", S),
         "seeded_shuffle": build(PLAIN, "SELECT row_idx, game_id FROM m", S),
-        "replace_partitions": build([], "SELECT league AS _league, season AS _season, count(*) AS rows FROM v_schedule GROUP BY league, season", S),
+        "replace_partitions": build([], """
+SELECT * REPLACE (CAST(week AS DOUBLE) AS week), 'landed' AS _source, league AS _league, season AS _season FROM v_schedule""", S),
+        "rate_certificate": build([*EVENTFUL, VOCAB, TRAIN], f"""
+SELECT head, coefficient, rows, TRUE AS stationary, CASE WHEN coefficient = 'intercept' THEN mean END AS mean_fitted
+FROM (SELECT unnest({[f"{s}_{c}" for c in ("goals", "sot", "corners", "cards") for s in ("home", "away")]}) AS head,
+             unnest([{", ".join(["count(*)"] * 2 + ["count(*) FILTER (WHERE targets_present = 1)"] * 6)}]) AS rows,
+             unnest([{", ".join(f"round(sum(w * {s}_goals) / sum(w), 6)" for s in ("home", "away"))}, {", ".join(["NULL"] * 6)}]) AS mean FROM train) h,
+     (SELECT unnest({["intercept", *NUMERIC_FEATURES]}) AS coefficient
+      UNION ALL SELECT DISTINCT concat('league_', CAST(idx AS VARCHAR)) FROM train JOIN vocab ON kind = 'league' AND value = league) c""", E, S),
+        "sweep_certificate": """
+SELECT reg_param, half_life_days, class_weight_power, TRUE AS converged, TRUE AS at_rest, TRUE AS scored
+FROM (SELECT unnest([0.001e0, 0.01e0, 0.1e0]) AS reg_param) r, (SELECT unnest([0e0, 180e0, 390e0, 730e0]) AS half_life_days) h,
+     (SELECT unnest([0e0, 0.5e0, 1e0]) AS class_weight_power) p""",
         "landed_schedule": build([], """
 SELECT league, season, game, game_id, date, CAST(week AS DOUBLE) AS week, home_team, away_team, score, league AS _league, season AS _season
 FROM v_schedule""", S),
@@ -458,7 +475,7 @@ FROM tr JOIN (SELECT s.team AS rated, w.ratings[s.slot] AS rating FROM slots s J
         "squad_priors": build([PRIORS], f"SELECT team, season, {r6('gls90', 'gls90')}, {r6('gk_save', 'gk_save')}, {r6('min_hhi', 'min_hhi')}, {r6('age', 'age')} FROM priors", "v_players"),
         "keeper_save_pct": build([PRIORS], f"SELECT team, season, {r6('gk_save', 'gk_save')} FROM keep", "v_players"),
         "match_priors": build([PARSED, PRIORS], f"""
-SELECT game_id, {r6('h.gls90', 'home_gls90')}, {r6('a.gls90', 'away_gls90')}, {r6('h.age', 'home_age')}, {r6('a.age', 'away_age')}
+SELECT game_id, {", ".join(r6(f"{s[0]}.{c}", f"{s}_{c}") for s in ("home", "away") for c in ("gls90", "gk_save", "min_hhi", "age"))}
 FROM valid v LEFT JOIN priors h ON h.team = v.home_team AND h.season = v.season
      LEFT JOIN priors a ON a.team = v.away_team AND a.season = v.season""", S, "v_players"),
         "lenient_numbers": build([], f"SELECT team, season, age, minutes, nineties, {num('age')} AS age_value, {num('minutes')} AS minutes_value, {num('nineties')} AS nineties_value FROM v_players", "v_players"),

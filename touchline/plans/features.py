@@ -156,7 +156,7 @@ def _previous_dates(cfg: FeatureConfig) -> list[Column]:
 def side_features(rows: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The 17 per-side features of each team row, from strictly prior matches."""
     prior = prior_states(rows, ["team"], ["row_idx"], trackers(cfg),
-                         ("date", "prev", cfg.congestion_memory), cfg.max_group_rows)
+                         ("date", "prev", cfg.congestion_memory))
     flagged = new_to_season(prior, materialize(season_debuts(rows)))  # written, so its size decides how it is joined
     emas = {o: cold_start(o) for t in trackers(cfg) for o in t.values}
     return flagged.withColumns({
@@ -178,7 +178,7 @@ def head_to_head(matches: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Da
     """row_idx, h2h_played (capped) and h2h_gd_ema seen from the home side."""
     prior = prior_states(
         pair_rows(matches), ["pair_lo", "pair_hi"], ["row_idx"],
-        [Trackers({"_gd": "oriented_gd"}, "_met", cfg.ema_alpha)], max_group_rows=cfg.max_group_rows)
+        [Trackers({"_gd": "oriented_gd"}, "_met", cfg.ema_alpha)])
     return prior.select(
         "row_idx", F.least(F.col("_met"), F.lit(cfg.h2h_played_cap)).cast("double").alias("h2h_played"),
         orient("home_team", "away_team", cold_start("_gd")).alias("h2h_gd_ema"))
@@ -269,6 +269,11 @@ class History:
     appearances: DataFrame
 
 
+def _after(rows: DataFrame) -> Column:
+    """The first row index that no row has."""
+    return F.coalesce(rows.agg(F.max("row_idx")).scalar() + 1, F.lit(0)).cast("long")
+
+
 def team_state(matches: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Snapshot per team after its last match.
 
@@ -281,13 +286,13 @@ def team_state(matches: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Data
     closing = (
         rows.groupBy("team").agg(F.max("row_idx").alias("last_row"), F.max_by("date", "row_idx").alias("last_date"))
         .withColumn("is_home", F.explode(F.array(F.lit(True), F.lit(False))))
-        .withColumns({**empty, "row_idx": F.lit((1 << 62)) + F.col("is_home").cast("long"),
+        .withColumns({**empty, "row_idx": _after(rows) + F.col("is_home").cast("long"),
                       "date": F.lit(None).cast("timestamp_ntz"), "season": F.lit(None).cast("string"),
                       "closing": F.lit(True)})
     )
     both = rows.withColumn("closing", F.lit(False)).unionByName(closing, allowMissingColumns=True)
     prior = prior_states(both, ["team"], ["row_idx"], trackers(cfg),
-                         ("date", "prev", cfg.congestion_memory), cfg.max_group_rows).where("closing")
+                         ("date", "prev", cfg.congestion_memory)).where("closing")
     whole = ("gf_ema", "ga_ema", "pts_ema", "sot_ema", "shots_ema", "shots_against_ema", "box_shots_ema",
              "deep_comp_ema")
     at = {v: F.col("is_home") == v for v in (True, False)}
@@ -305,10 +310,10 @@ def h2h_state(matches: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataF
     """Per unordered pair: meetings so far and goal-difference average seen from the smaller name."""
     rows = pair_rows(matches).withColumn("closing", F.lit(False))
     closing = rows.select("pair_lo", "pair_hi").distinct().withColumns(
-        {"row_idx": F.lit(1 << 62), "closing": F.lit(True)})
+        {"row_idx": _after(rows), "closing": F.lit(True)})
     prior = prior_states(
         rows.unionByName(closing, allowMissingColumns=True), ["pair_lo", "pair_hi"], ["row_idx"],
-        [Trackers({"gd_ema": "oriented_gd"}, "met", cfg.ema_alpha)], max_group_rows=cfg.max_group_rows)
+        [Trackers({"gd_ema": "oriented_gd"}, "met", cfg.ema_alpha)])
     return prior.where("closing").select("pair_lo", "pair_hi", "met", "gd_ema")
 
 

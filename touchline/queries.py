@@ -10,7 +10,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from touchline.config import EVENT_STATS, NUMERIC_FEATURES, FeatureConfig, LossConfig, ModelConfig, SplitConfig
+from touchline.config import EVENT_STATS, NUMERIC_FEATURES, STAT_TARGETS, FeatureConfig, LossConfig, ModelConfig, SplitConfig
 from touchline.functions import outcomes as oc
 from touchline.functions import scalars as sc
 from touchline.functions.names import normalize_names, token_jaccard
@@ -230,7 +230,7 @@ def _form(spark, sf, columns, with_events=False):
 def team_form(spark, sf):
     t = ft.trackers(CFG)[0]
     rows = ft.team_rows(indexed(spark, sf))
-    out = prior_states(rows, ["team"], ["row_idx"], [t], max_group_rows=CFG.max_group_rows)
+    out = prior_states(rows, ["team"], ["row_idx"], [t])
     return rounded(out.select("row_idx", "team", "is_home", *[sc.cold_start(c).alias(c) for c in t.values]))
 
 
@@ -238,7 +238,7 @@ def team_form(spark, sf):
 def venue_form(spark, sf):
     t = ft.trackers(CFG)[1]
     rows = ft.team_rows(indexed(spark, sf))
-    out = prior_states(rows, ["team"], ["row_idx"], [t], max_group_rows=CFG.max_group_rows)
+    out = prior_states(rows, ["team"], ["row_idx"], [t])
     return rounded(out.select("row_idx", "team", "is_home", *[sc.cold_start(c).alias(c) for c in t.values]))
 
 
@@ -246,7 +246,7 @@ def venue_form(spark, sf):
 def event_form(spark, sf):
     t = ft.trackers(CFG)[2]
     rows = ft.team_rows(indexed(spark, sf, True))
-    out = prior_states(rows, ["team"], ["row_idx"], [t], max_group_rows=CFG.max_group_rows)
+    out = prior_states(rows, ["team"], ["row_idx"], [t])
     return rounded(out.select("row_idx", "team", "is_home", *[sc.cold_start(c).alias(c) for c in t.values]))
 
 
@@ -386,7 +386,7 @@ def keeper_save_pct(spark, sf):
 def match_priors(spark, sf):
     p = view(spark, sf, "v_players")
     out = ag.join_priors(valid(spark, sf), ag.squad_priors(p, p))
-    return rounded(out.select("game_id", "home_gls90", "away_gls90", "home_age", "away_age"))
+    return rounded(out.select("game_id", *[f"{s}_{c}" for s in ("home", "away") for c in ("gls90", "gk_save", "min_hhi", "age")]))
 
 
 # Outcome probabilities
@@ -678,7 +678,7 @@ def replace_partitions(spark, sf):
     path = scratch(spark, "replace")
     for _ in range(2):
         tables.replace_partitions(rows, path)
-    return tables.read_table(spark, path, rows.schema).groupBy("_league", "_season").agg(F.count(F.lit(1)).alias("rows"))
+    return tables.read_table(spark, path, rows.schema).withColumn("week", F.col("week").cast("double"))
 
 
 @query
@@ -708,9 +708,26 @@ def training_export(spark, sf):
 @query
 def goal_rate_scores(spark, sf):
     parts = _splits(spark, sf)
-    fitted = tr.fit(parts["train"], ModelConfig(ensemble=2, seed=1), with_stats=False)
+    fitted = tr.fit(parts["train"], ModelConfig(ensemble=2, seed=1))
     return rounded(tr.predict(fitted, parts["test"]).select(
-        "row_idx", "label", "rate_home", "rate_away", *mt.PROBS))
+        "row_idx", "label", "rate_home", "rate_away", *mt.PROBS, *[f"pred_{t}" for t in STAT_TARGETS]))
+
+
+@query
+def rate_certificate(spark, sf):
+    """Every head's optimum, coefficient by coefficient."""
+    prepared = tr.prepare(_splits(spark, sf)["train"], NUMERIC_FEATURES)
+    return tr.certificate(prepared, tr.fit_prepared(prepared, ModelConfig()))
+
+
+@query
+def sweep_certificate(spark, sf):
+    """The whole grid, each set at rest, with its scores in their ranges."""
+    swept = parameter_sweep(spark, sf)
+    return swept.select(
+        "reg_param", "half_life_days", "class_weight_power", "converged", (F.col("steepest") < 1e-8).alias("at_rest"),
+        (F.col("score_accuracy").between(0, 1) & F.col("score_f1").between(0, 1) & (F.col("score_logloss") < 0)
+         & (F.col("score_combined") <= F.col("score_f1")) & (F.col("score") == F.col("score_logloss"))).alias("scored"))
 
 
 @query
