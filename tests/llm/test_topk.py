@@ -11,15 +11,12 @@ NAMES = "vec_id long, embedding array<double>, label int, rank int, score string
 
 
 def brute(rows, every=50, k=5):
-    valid = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(256 * x)) for x in v]
-            valid[i] = min(valid.get(i, q), q)
+    valid = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i in valid:
+    for n, (i, q) in enumerate(valid):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(valid[i], v)), j) for j, v in valid.items() if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(valid) if m != n)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -74,6 +71,8 @@ def test_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5]), (1, [1e6, -1e6]), (2, []), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]),
             (6, [float("inf")]), (None, [1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (7, [0.0, 9.0]), (100, [-1e6, 1e6])]
     assert result(top_k_report(frame(spark, rows))) == brute(rows)
+    twice = [(50, [1.0]), (1, [2.0]), (1, [3.0]), (2, [1.0]), (50, [4.0]), (1, [3.0])]
+    assert result(top_k_report(frame(spark, twice))) == brute(twice) and len(brute(twice)) == 10
     assert result(top_k_report(frame(spark, []))) == [] and result(top_k_report(frame(spark, [(1, [1.0])]))) == []
     assert result(top_k_report(frame(spark, [(50, [1.0])]))) == []
 
@@ -83,7 +82,7 @@ def test_blocks_below_the_bound_are_not_scored(monkeypatch):
     index = []
     for b in range(20):
         data = rng.integers(0, 5, (16, 4)) + (100 if b == 7 else 0)
-        index.append((np.arange(16) + 16 * b, data))
+        index.append((np.arange(16) + 16 * b, np.arange(16) + 16 * b, data))
     scored = []
     real = topk.best_per_query
     monkeypatch.setattr(topk, "best_per_query", lambda found, k: scored.append(1) or real(found, k))
@@ -93,5 +92,5 @@ def test_blocks_below_the_bound_are_not_scored(monkeypatch):
 
 def test_large_weights_stay_exact():
     big = np.array([[2**30, 1], [2**30, 2]])
-    _, ident, score = search((np.array([9]), np.array([[2**31, 1]])), [(np.array([1, 2]), big)], np.array([LEAST]), 2)
+    _, ident, score = search((np.array([9]), np.array([[2**31, 1]])), [(np.array([1, 2]), np.array([1, 2]), big)], np.array([LEAST]), 2)
     assert ident.tolist() == [2, 1] and score.tolist() == [2**61 + 2, 2**61 + 1]

@@ -16,18 +16,19 @@ K = 5
 BLOCK_ROWS, GROUP_BLOCKS, PACKS = 256, 16, 50
 LEAST = np.iinfo(np.int64).min
 
-BLOCKS = "part int, grp int, ids binary, dims int, data binary"
-PACK = "part int, grp int, ids binary, dims int, data binary, found_query binary, found_id binary, found_score binary"
+BLOCKS = "part int, grp int, ids binary, nums binary, dims int, data binary"
+PACK = "part int, grp int, ids binary, nums binary, dims int, data binary, found_query binary, found_id binary, found_score binary"
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component as long. Rows whose id or vector is null, or whose vector holds
-    a null or non-finite component, take no part. Of rows with one id the smallest vector counts."""
-    x = F.transform(df[vector_col], lambda c: c.cast("double"))
+    """(num, vec_id, v): floor(scale * x) of every component as long, and a number of the row's own, as ids may repeat. Rows whose
+    id or vector is null, or whose vector holds a null or non-finite component, take no part."""
+    x = F.transform(df[f"`{vector_col}`"], lambda c: c.cast("double"))
     odd = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return df.select(df[id_col].cast("long").alias("vec_id"), x.alias("x")).where(
-        F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(odd, F.lit(True))).groupBy("vec_id").agg(
-        F.min(F.transform("x", lambda c: F.floor(c * scale).cast("long"))).alias("v"))
+    kept = df.select(df[f"`{id_col}`"].cast("long").alias("vec_id"), x.alias("x")).where(
+        F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(odd, F.lit(True)))
+    # Written, so that a number stays with its row.
+    return materialize(kept.select(F.monotonically_increasing_id().alias("num"), "vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v")))
 
 
 def blocks(vectors: DataFrame) -> DataFrame:
@@ -38,17 +39,17 @@ def blocks(vectors: DataFrame) -> DataFrame:
         part, number, rows = TaskContext.get().partitionId(), 0, []
 
         def block() -> pa.RecordBatch:
-            dims = max(len(v) for _, v in rows)
+            dims = max(len(v) for _, _, v in rows)
             data = np.zeros((len(rows), dims), np.int64)
-            for i, (_, v) in enumerate(rows):
+            for i, (_, _, v) in enumerate(rows):
                 data[i, :len(v)] = v
-            ids = np.array([i for i, _ in rows], np.int64)
+            ids, nums = (np.array([r[k] for r in rows], np.int64) for k in (1, 0))
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "grp": pa.array([number // GROUP_BLOCKS], pa.int32()),
-                "ids": [ids.tobytes()], "dims": pa.array([dims], pa.int32()), "data": [data.tobytes()]})
+                "ids": [ids.tobytes()], "nums": [nums.tobytes()], "dims": pa.array([dims], pa.int32()), "data": [data.tobytes()]})
 
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 rows.append(row)
                 if len(rows) == BLOCK_ROWS:
                     yield block()
@@ -56,13 +57,14 @@ def blocks(vectors: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    return vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(build, BLOCKS)
+    return vectors.select("num", "vec_id", "v").repartitionByRange("vec_id", "num").sortWithinPartitions("vec_id", "num").mapInArrow(build, BLOCKS)
 
 
-def _matrix(row, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row.ids, np.int64)
+def _matrix(row, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row numbers and weights of a block."""
+    ids, nums = np.frombuffer(row.ids, np.int64), np.frombuffer(row.nums, np.int64)
     data = np.frombuffer(row.data, np.int64).reshape(len(ids), row.dims)
-    return ids, np.pad(data, ((0, 0), (0, dims - row.dims))) if row.dims < dims else data[:, :dims]
+    return ids, nums, np.pad(data, ((0, 0), (0, dims - row.dims))) if row.dims < dims else data[:, :dims]
 
 
 def best_per_query(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
@@ -76,27 +78,29 @@ def best_per_query(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, .
     return query[keep], ident[keep], score[keep]
 
 
-def search(queries: tuple[np.ndarray, np.ndarray], index: list[tuple[np.ndarray, np.ndarray]],
+def search(queries: tuple[np.ndarray, np.ndarray], index: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
            floor: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """(place of the query, id, score) of the k best of the blocks in ``index`` that reach the query's ``floor``.
 
+    ``queries`` are row numbers and weights; a query does not find its own row, but other rows of its id.
+
     A block's bound for a query is the sum over terms of its weight times the block's largest (for a negative
     weight, smallest) weight. Each query takes blocks in falling order of bounds, until they lie below its kth score.
     """
-    ids, q = queries
-    size = max([1, *(np.abs(d).max(initial=0) for _, d in index)])
+    nums, q = queries
+    size = max([1, *(np.abs(d).max(initial=0) for _, _, d in index)])
     exact = float(np.abs(q).max(initial=0)) * float(size) * max(1, q.shape[1]) < 2**53  # doubles hold every partial sum
     kind = np.float64 if exact else np.int64
     weights = q.astype(kind)
-    high = np.array([d.max(0) for _, d in index]).astype(kind)
-    low = np.array([d.min(0) for _, d in index]).astype(kind)
+    high = np.array([d.max(0) for _, _, d in index]).astype(kind)
+    low = np.array([d.min(0) for _, _, d in index]).astype(kind)
     bounds = np.maximum(weights, 0) @ high.T + np.minimum(weights, 0) @ low.T
     order = np.argsort(-bounds, axis=1, kind="stable")
-    kth, data = floor.copy(), [d.astype(kind).T for _, d in index]
+    kth, data = floor.copy(), [d.astype(kind).T for _, _, d in index]
     found = (np.zeros(0, np.int64),) * 3
     for step in range(len(index)):
         block = order[:, step]
-        going = np.flatnonzero(bounds[np.arange(len(ids)), block] >= kth)
+        going = np.flatnonzero(bounds[np.arange(len(nums)), block] >= kth)
         if not len(going):
             break
         new = [found]
@@ -104,7 +108,7 @@ def search(queries: tuple[np.ndarray, np.ndarray], index: list[tuple[np.ndarray,
             rows = going[block[going] == b]
             scores = weights[rows] @ data[b]
             at, column = np.nonzero(scores >= kth[rows][:, None])
-            other = index[b][0][column] != ids[rows[at]]
+            other = index[b][1][column] != nums[rows[at]]
             at, column = at[other], column[other]
             new.append((rows[at], index[b][0][column], scores[at, column].astype(np.int64)))
         found = best_per_query(tuple(map(np.concatenate, zip(*new))), k)
@@ -114,14 +118,15 @@ def search(queries: tuple[np.ndarray, np.ndarray], index: list[tuple[np.ndarray,
     return found
 
 
-def _index(pdf: pd.DataFrame, dims: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _index(pdf: pd.DataFrame, dims: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [_matrix(row, dims) for row in pdf.itertuples()]
 
 
 def top_k(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
-    """(query_id, vec_id, score, rank): for each id divisible by ``every``, its k best other rows, ties to the smaller id.
+    """(query_id, vec_id, score, rank): for each row whose id is divisible by ``every``, its k best other rows, ties to the smaller id.
 
-    ``vectors`` has vec_id and v (array of long; a shorter vector lacks its last terms); scores must fit a long. Queries first search the group
+    ``vectors`` has num (the row's own number), vec_id and v (array of long; a shorter vector lacks its last terms); scores must fit a
+    long. Rows that repeat an id are rows of their own: each is a candidate, each is ranked for where its id is asked. Queries first search the group
     of blocks they lie in, which gives each a floor. Then packs of queries meet every other group, in tasks of bounded
     size, and only scores that reach the floor are returned. An empty table gives an empty result.
     """
@@ -130,16 +135,16 @@ def top_k(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         dims = int(pdf["dims"].max())
         own = _index(pdf, dims)
-        ids, data = np.concatenate([i for i, _ in own]), np.concatenate([d for _, d in own])
+        ids, nums, data = (np.concatenate([x[i] for x in own]) for i in range(3))
         asked = np.flatnonzero(ids % every == 0)
-        asked = asked[np.argsort(ids[asked], kind="stable")]  # a group's blocks arrive in any order, packs are searched by id
+        asked = asked[np.argsort(nums[asked], kind="stable")]  # a group's blocks arrive in any order, packs are searched by number
         if not len(asked):
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in ("part", "grp", "ids", "dims", "data", "found_query", "found_id", "found_score")})
-        ids, data = ids[asked], data[asked]
-        query, ident, score = search((ids, data), own, np.full(len(ids), LEAST), k)
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in ("part", "grp", "ids", "nums", "dims", "data", "found_query", "found_id", "found_score")})
+        ids, nums, data = ids[asked], nums[asked], data[asked]
+        query, ident, score = search((nums, data), own, np.full(len(ids), LEAST), k)
         return pd.DataFrame({
-            "part": [pdf["part"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "ids": [ids.tobytes()], "dims": [dims],
-            "data": [np.ascontiguousarray(data).tobytes()], "found_query": [ids[query].tobytes()],
+            "part": [pdf["part"].iloc[0]], "grp": [pdf["grp"].iloc[0]], "ids": [ids.tobytes()], "nums": [nums.tobytes()],
+            "dims": [dims], "data": [np.ascontiguousarray(data).tobytes()], "found_query": [nums[query].tobytes()],
             "found_id": [ident.tobytes()], "found_score": [score.tobytes()]})
 
     packs = materialize(index.groupBy("part", "grp").applyInPandas(at_home, PACK))
@@ -148,40 +153,42 @@ def top_k(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, rank int")
     many = max(1, -(-n // PACKS))
     dealt = packs.withColumn("deal", F.pmod(F.xxhash64("part", "grp"), F.lit(many)).cast("int")).select(
-        F.col("part").alias("own_part"), F.col("grp").alias("own_grp"), "ids", "dims", "data", "found_query", "found_score", "deal")
+        F.col("part").alias("own_part"), F.col("grp").alias("own_grp"), "ids", "nums", "dims", "data", "found_query", "found_score", "deal")
     asked = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts)))).withColumn(
         "grp", F.explode(F.sequence(F.lit(0), F.lit(groups)))).where("part <> own_part OR grp <> own_grp")
     spread = index.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
 
     def abroad(own: pd.DataFrame, packed: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64),) * 4]
         if len(own) and len(packed):
             dims = int(max(own["dims"].max(), packed["dims"].max()))
             group = _index(own, dims)
             for row in packed.itertuples():
-                queries = _matrix(row, dims)
-                floor = np.full(len(queries[0]), LEAST)
-                at = np.searchsorted(queries[0], np.frombuffer(row.found_query, np.int64))
+                ids, nums, data = _matrix(row, dims)
+                floor = np.full(len(nums), LEAST)
+                at = np.searchsorted(nums, np.frombuffer(row.found_query, np.int64))
                 seen = np.bincount(at, minlength=len(floor))
                 lowest = np.full(len(floor), np.iinfo(np.int64).max)
                 np.minimum.at(lowest, at, np.frombuffer(row.found_score, np.int64))
                 floor[seen == k] = lowest[seen == k]
-                query, ident, score = search(queries, group, floor, k)
-                out.append((queries[0][query], ident, score))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+                query, ident, score = search((nums, data), group, floor, k)
+                out.append((nums[query], ids[query], ident, score))
+        return pd.DataFrame(dict(zip(("num", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     keys = ["part", "grp", "deal"]
     elsewhere = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
-        abroad, "query_id long, vec_id long, score long")
+        abroad, "num long, query_id long, vec_id long, score long")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
-                yield pd.DataFrame({n: np.frombuffer(b, np.int64) for n, b in (
-                    ("query_id", row.found_query), ("vec_id", row.found_id), ("score", row.found_score))})
+                ids, nums = np.frombuffer(row.ids, np.int64), np.frombuffer(row.found_query, np.int64)
+                yield pd.DataFrame({"num": nums, "query_id": ids[np.searchsorted(np.frombuffer(row.nums, np.int64), nums)],
+                                    "vec_id": np.frombuffer(row.found_id, np.int64), "score": np.frombuffer(row.found_score, np.int64)})
 
-    home = packs.select("found_query", "found_id", "found_score").mapInPandas(unpack, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    home = packs.select("ids", "nums", "found_query", "found_id", "found_score").mapInPandas(
+        unpack, "num long, query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("num").orderBy(F.desc("score"), "vec_id"))
     return home.union(elsewhere).withColumn("rank", place).where(F.col("rank") <= k)
 
 
@@ -193,4 +200,6 @@ def packs_shape(index: DataFrame, packs: DataFrame) -> tuple[int, int, int]:
 
 def top_k_report(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50,
                  k: int = K) -> DataFrame:
+    """Each query's k best other rows. Equal scores go by the smaller id; rows that repeat an id are all candidates, and each is asked
+    for where its id is; other columns are ignored."""
     return top_k(quantised(df, id_col, vector_col), every, k).select("query_id", "rank", "vec_id", "score")
