@@ -20,8 +20,8 @@ from touchline.session import materialize
 CAPACITY = 4096
 #: Pieces packed together, about. Each such group loses less than one sequence to its last, unfilled one.
 GROUP_ROWS = 20_000
-#: Fillings looked at for one sequence, and sequences closed in one search. They bound the effort, not the pieces:
-#: a search that ends early keeps its best-fit solution.
+#: Steps of one batch of fillings, and fillings tried in one search. ``NODES`` bounds the effort, not the pieces: a search that ends
+#: early keeps its best-fit solution.
 FILLINGS, NODES = 400, 60_000
 WORDS_KEPT = 500_000
 #: The id at the end of each document.
@@ -39,8 +39,9 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # lower-cased words may spell a special token that the text does not hold
+        self.marked = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
@@ -55,8 +56,14 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, each followed by the end id.
 
-        A-Z are lower-cased first, as the tokenizer does too, which makes more words alike.
+        A-Z are lower-cased first, as the tokenizer does too, which makes more words alike. Texts that hold the string of a special
+        token are left to the tokenizer as they are: it gives that token.
         """
+        held = {i for i, t in enumerate(texts) if any(m in t for m in self.marked)}
+        if held:
+            plain = iter(self.encode([t for i, t in enumerate(texts) if i not in held]))
+            return [array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() + END if i in held else next(plain)
+                    for i, t in enumerate(texts)]
         words = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > WORDS_KEPT:
@@ -115,47 +122,49 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of ``room`` as (waste, lengths), the least waste first, at most ``most`` looked at.
+def fillings(sizes: list[int], counts: dict[int, int], room: int, batch: int = FILLINGS) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+    """Undominated fillings of ``room`` as (waste, lengths), all of them in the end: found ``batch`` steps at a time, each batch the
+    least waste first, None for a batch that found nothing. A batch ends early with a filling without waste.
 
-    ``sizes`` are the lengths at hand in falling order. A filling is dominated when one of its lengths can give way to a
-    longer one at hand that still fits, or when anything more fits.
+    ``sizes`` are the lengths at hand in falling order; the search may change them and ``counts`` between two fillings if it puts them back.
+    A filling is dominated when one of its lengths can give way to a longer one at hand that still fits, or when anything more fits.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    rising = sizes[::-1]
-    looked = 0
+    looked, found = 0, []
 
     def first_fit(limit: int) -> int:
-        return len(sizes) - bisect_left(rising, limit + 1)
+        return len(sizes) - bisect_left(sizes[::-1], limit + 1)
 
     stack: list[tuple[int, int, tuple[int, ...]]] = [(first_fit(room), room, ())]
-    while stack and looked < most:
+    while stack:
         i, left, chosen = stack.pop()
         looked += 1
         while i < len(sizes) and chosen.count(sizes[i]) >= counts[sizes[i]]:
             i += 1
         if i == len(sizes) or not left:
+            rising = sizes[::-1]
             smaller = next((s for s in rising if s <= left and chosen.count(s) < counts[s]), None) if left else None
             if smaller is None:
                 swap = any((j := bisect_left(rising, x + 1)) < len(rising) and any(
                     chosen.count(y) < counts[y] for y in rising[j:bisect_left(rising, x + left + 1)]) for x in set(chosen)) if left else False
                 if not swap:
                     found.append((left, chosen))
-                    if not left:
-                        break
-            continue
-        size = sizes[i]
-        skip = max(i + 1, first_fit(left))
-        stack.append((skip, left, chosen))
-        stack.append((max(i, first_fit(left - size)), left - size, (*chosen, size)))
-    return sorted(found)
+        else:
+            size = sizes[i]
+            skip = max(i + 1, first_fit(left))
+            stack.append((skip, left, chosen))
+            stack.append((max(i, first_fit(left - size)), left - size, (*chosen, size)))
+        if looked >= batch or found and not found[-1][0]:
+            yield from sorted(found) or [None]
+            looked, found = 0, []
+    yield from sorted(found)
 
 
 def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bin completion: around the longest length left, try undominated fillings, the least waste first.
+    """Bin completion: around the longest length left, try undominated fillings, the least waste of a batch first.
 
     Best fit decreasing is the first incumbent. Waste may not exceed what one bin fewer than the incumbent allows; a
-    branch beyond that is cut. The search goes depth first and ends at the lower bound or after ``nodes`` fillings.
+    branch beyond that is cut, and no other. Fillings are enumerated as they are asked for. The search goes depth first and ends at
+    the lower bound, when all is tried, or after ``nodes`` fillings.
     """
     lengths = sorted(lengths, reverse=True)
     best, total = best_fit(lengths, capacity), sum(lengths)
@@ -179,30 +188,35 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
     while len(best) > bound and looked < nodes:
         allowed = (len(best) - 1) * capacity - total
         bins: list[tuple[int, ...]] = []
-        levels: list[tuple[int, list[tuple[int, ...]], int]] = []  # first, fillings left to try, waste so far
+        levels: list[tuple[int, Iterator[tuple[int, tuple[int, ...]] | None], int]] = []  # first, fillings left to try, waste so far
         waste, solved = 0, False
         while looked < nodes:
             if not sizes:
                 solved = True
                 break
             first = sizes[0]
-            take((first,), 1)
-            options = fillings(sizes, counts, capacity - first, FILLINGS)
-            looked += 1
-            open_options = [c for w, c in options[:4] if waste + w <= allowed]
-            take((first,), -1)
-            levels.append((first, open_options[::-1], waste))
-            while levels and not levels[-1][1]:
+            levels.append((first, fillings(sizes, counts, capacity - first), waste))
+            while levels and looked < nodes:
+                first, options, waste = levels[-1]
+                take((first,), 1)  # the first is taken while its fillings are enumerated
+                option = None
+                for filling in options:
+                    looked += 1
+                    if filling and waste + filling[0] <= allowed:
+                        option = filling[1]
+                    if option is not None or looked >= nodes:
+                        break
+                take((first,), -1)
+                if option is not None or looked >= nodes:
+                    break
                 levels.pop()
                 if bins and levels:
                     take(bins.pop(), -1)
-            if not levels:
+            if not levels or option is None:
                 break
-            first, options_left, waste = levels[-1]
-            chosen = (first, *options_left.pop())
-            take(chosen, 1)
-            bins.append(chosen)
-            waste += capacity - sum(chosen)
+            take((first, *option), 1)
+            bins.append((first, *option))
+            waste += capacity - sum(bins[-1])
         if not solved:
             break
         best = [list(b) for b in bins]
