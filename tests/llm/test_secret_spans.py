@@ -2,10 +2,11 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
-from touchline.llm.secret_spans import KINDS, STEP, find_secrets, redact, secret_report
+from touchline.llm.secret_spans import KINDS, REACH, find_secrets, redact, secret_report
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 IDENT = re.compile(r"""(?:username|user|login|account|client_id|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]+""", re.I | re.A)
@@ -25,7 +26,7 @@ def brute(text):
     parts += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
 
     def near(p, kinds):
-        return any(q[1] in kinds and abs(q[0] // STEP - p[0] // STEP) <= 1 for q in parts)
+        return any(q[1] in kinds and q[0] <= p[2] + REACH and p[0] <= q[2] + REACH for q in parts)
 
     who, what = (1, 3), (0, 2, 4)
     kept = [p for p in parts if p[1] < 3 or (p[1] == 3 and near(p, what)) or (p[1] == 4 and near(p, who))
@@ -88,5 +89,30 @@ LONG = "aB3" * 234  # 702 characters, three steps
     (f"https://a.b/{'c' * 700} {KEY} {MIXED}", "[SECRET] [SECRET] [SECRET]"),
     (f"{LONG}{' ' * 600}login: bob", f"{LONG}{' ' * 600}login: bob"), (f"user: bob{' ' * 600}{MIXED}", f"user: bob{' ' * 600}{MIXED}")])
 @pytest.mark.parametrize("lead", [0, 100, 255])
-def test_masking_links_parts_by_all_they_cover(frame, text, masked, lead):
+def test_parts_are_linked_by_all_they_cover(frame, text, masked, lead):
+    spans = secret_report(frame([(1, "." * lead + text)])).first().spans
+    assert bool(spans) == ("[" in masked)
     assert redact(frame([(1, "." * lead + text)])).first().text == "." * lead + masked
+
+
+@pytest.mark.parametrize("gap, linked", [(256, True), (257, False)])
+@pytest.mark.parametrize("lead", [0, 1, 255])
+def test_reach_does_not_depend_on_the_place(frame, gap, linked, lead):
+    for text in (f"user:bob{' ' * gap}{MIXED}", f"{MIXED}{' ' * gap}user:bob"):
+        got = secret_report(frame([(1, "." * lead + " " + text)])).first().spans
+        assert bool(got) == linked and got == (brute("." * lead + " " + text)[1] and ",".join(
+            f"{KINDS[k]}:{a}:{b}" for a, k, b in brute("." * lead + " " + text)[1]) or "")
+
+
+def test_many_matches_in_one_text(frame):
+    text = "é token=abcdefgh user=bob " * 8000
+    docs = frame([(1, text)])
+    began = time.time()
+    report, masked = secret_report(docs).first(), redact(docs).first()
+    assert report.n_assign == 8000 and report.spans.count("ident") == 8000
+    assert masked.text == "é [SECRET] [SECRET] " * 8000 and time.time() - began < 20
+
+
+def test_columns_with_any_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", 5)], "doc_id long, text string, `a.b` int")
+    assert redact(docs).columns == docs.columns and redact(docs).first().text == "[SECRET]"

@@ -40,7 +40,7 @@ _PARTS = " UNION ALL ".join(_kind(i, *x) for i, x in enumerate((
     ("assign", ASSIGN, "length(value) >= 8"), ("access", ACCESS, "true"), ("hex", HEX, "true"), ("ident", IDENT, "true"),
     ("token", TOKEN, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')"),
     ("endpoint", ENDPOINT, "true"))))
-_NEAR = "EXISTS (SELECT 1 FROM p q WHERE q.r = p.r AND q.kind IN ({}) AND abs(q.start // 256 - p.start // 256) <= 1)"
+_NEAR = "EXISTS (SELECT 1 FROM p q WHERE q.r = p.r AND q.kind IN ({}) AND q.start <= p.stop + 256 AND p.start <= q.stop + 256)"
 _WHO, _WHAT = _NEAR.format("1, 3"), _NEAR.format("0, 2, 4")
 
 OP3 = f"""
