@@ -6,7 +6,7 @@ import contextlib
 import sys
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,21 +25,33 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def text_of(df: DataFrame, column: str) -> Column:
     """The column as text, null as the empty text."""
-    return F.coalesce(df[column].cast("string"), F.lit(""))
+    return F.coalesce(df[f"`{column}`"].cast("string"), F.lit(""))
 
 
 def type_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-#: The column of ``numbered``.
-ROW = "_touchline_row"
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named by place, so that no name of theirs clashes or needs quoting, and the new name of each."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores in front as make it one that is not taken."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+#: The column of ``numbered``, whose rows come from ``plain``.
+ROW = "_row"
 
 
 def numbered(df: DataFrame) -> DataFrame:
     """The rows with a number of their own, written out so that a number stays with its row."""
-    if ROW in df.columns:
-        raise ValueError(f"the column {ROW} exists already")
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from touchline.llm.common import ROW, SPACES, numbered, shared_folder, text_of, type_of
+from touchline.llm.common import ROW, SPACES, numbered, plain, shared_folder, text_of, type_of
 from touchline.session import materialize
 
 SALTS = 32
@@ -72,7 +72,7 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     """
     batch, text = uuid.uuid4().hex, text_of(docs, text_col)
     rows = materialize(docs.select(
-        docs[id_col].alias("doc_id"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"),
+        docs[f"`{id_col}`"].alias("doc_id"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"),
         F.length(text).cast("long").alias("points"),
         (docs[row_col] if row_col else F.monotonically_increasing_id()).alias("row")))
     rows = rows.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
@@ -108,6 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with their columns as they are."""
-    rows = numbered(docs)
-    kept = dedup(rows, new_index(docs, id_col), id_col, text_col, ROW).where("kept")
-    return rows.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").select(*[rows[c] for c in docs.columns])
+    safe, name = plain(docs)
+    rows = numbered(safe)
+    kept = dedup(rows, new_index(safe, name[id_col]), name[id_col], name[text_col], ROW).where("kept")
+    return rows.join(kept.select(F.col("row").alias(ROW)), ROW, "left_semi").select(*safe.columns).toDF(*docs.columns)

@@ -115,7 +115,7 @@ def words_of(text: str) -> list[bytes]:
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column, settings: Settings) -> DataFrame:
     """One row per chunk: ids, whether each text is learnt from, where it ends, its words as numbers, the chunk's words."""
-    source = docs.select(docs[f"`{id_col}`"].alias("id"), learn.alias("learn"), text_of(docs, f"`{text_col}`").alias("text"))
+    source = docs.select(docs[f"`{id_col}`"].alias("id"), learn.alias("learn"), text_of(docs, text_col).alias("text"))
     id_type = type_of(docs, id_col)
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("learn", T.ArrayType(T.BooleanType())),

@@ -235,4 +235,4 @@ def scan_licenses(docs: DataFrame, keep: dict[str, Column], text_col: str = "tex
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return scan_licenses(docs, {"doc_id": docs[id_col]}, text_col)
+    return scan_licenses(docs, {"doc_id": docs[f"`{id_col}`"]}, text_col)

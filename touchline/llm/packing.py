@@ -80,7 +80,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
 
     A null or empty text is one piece with the end id alone. Repeated rows each have pieces.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("text"))
+    source = docs.select(docs[f"`{id_col}`"].alias("doc_id"), text_of(docs, text_col).alias("text"))
     added = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(added).fields])
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import text_of
+from touchline.llm.common import free_name, plain, text_of
 from touchline.session import materialize
 
 
@@ -39,11 +39,11 @@ def jump_shards(df: DataFrame, key: str, shards: int, grown: int | None = None,
     An empty table gives an empty result. ``keep`` names the columns to carry (default: the key); columns of
     the input that are not named there do not matter, whatever they are called.
     """
-    keep = keep if keep is not None else {key: df[key]}
+    keep = keep if keep is not None else {key: df[f"`{key}`"]}
     if clash := {"shard", "grown_shard", "slot", "_hash", "_part", "_local"} & set(keep):
         raise ValueError(f"columns would be overwritten: {sorted(clash)}")
     grown = grown or shards
-    source = df.select(*[c.alias(n) for n, c in keep.items()], F.xxhash64(df[key]).alias("_hash"))
+    source = df.select(*[c.alias(n) for n, c in keep.items()], F.xxhash64(df[f"`{key}`"]).alias("_hash"))
     added = "shard int, grown_shard int, _part int, _local long"
     schema = T.StructType([*source.drop("_hash").schema.fields, *T.StructType.fromDDL(added).fields])
 
@@ -79,14 +79,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     """
     text = text_of(docs, text_col)
     placed = jump_shards(docs, id_col, shards, shards + 1, {
-        "doc_id": docs[id_col], "size": (F.octet_length(text) + F.lit(1)).cast("long"),
+        "doc_id": docs[f"`{id_col}`"], "size": (F.octet_length(text) + F.lit(1)).cast("long"),
         "text_crc32": F.crc32(text.cast("binary"))})
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def write_shards(df: DataFrame, key: str, shards: int, path: str) -> None:
-    """Write the rows themselves, one folder per shard; each task writes to every folder, so no shard is one task's."""
-    if clash := {"shard", "slot", "grown_shard"} & set(df.columns):
-        raise ValueError(f"columns would be overwritten: {sorted(clash)}")
-    placed = jump_shards(df, key, shards, keep={c: df[c] for c in df.columns})
-    placed.drop("grown_shard").write.partitionBy("shard").parquet(path)
+    """Write the rows themselves, one folder per shard; each task writes to every folder, so no shard is one task's.
+
+    The added columns are ``shard`` and ``slot``, with underscores in front where the rows have columns of that name.
+    """
+    safe, name = plain(df)
+    placed = jump_shards(safe, name[key], shards, keep={c: F.col(c) for c in safe.columns}).select(*safe.columns, "slot", "shard")
+    slot, shard = (free_name(n, df.columns) for n in ("slot", "shard"))
+    placed.toDF(*df.columns, slot, shard).write.partitionBy(shard).parquet(path)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import ROW, numbered, text_of
+from touchline.llm.common import ROW, numbered, plain, text_of
 from touchline.llm.components import components
 from touchline.session import materialize
 
@@ -221,7 +221,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are linked through their common fingerprint. Null ids come last among ids; where a component has no other, its
     id is null. Repeated rows are each returned; an empty table gives an empty result.
     """
-    rows = materialize(with_fingerprints(docs, text_col, {"doc_id": docs[id_col], **(keep or {})}, words))
+    rows = materialize(with_fingerprints(docs, text_col, {"doc_id": docs[f"`{id_col}`"], **(keep or {})}, words))
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(distinct.select("fp"), distance))
     rooted = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -238,7 +238,8 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, the first of repeated rows."""
-    rows = numbered(docs)
-    found = simhash_groups(rows, id_col, text_col, keep={"row": rows[ROW]})
+    safe, name = plain(docs)
+    rows = numbered(safe)
+    found = simhash_groups(rows, name[id_col], name[text_col], keep={"row": rows[ROW]})
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("row").alias(ROW))
-    return rows.join(first.select(ROW), ROW, "left_semi").select(*[rows[c] for c in docs.columns])
+    return rows.join(first.select(ROW), ROW, "left_semi").select(*safe.columns).toDF(*docs.columns)

@@ -467,7 +467,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = text_of(docs, text_col)
     whole = F.unhex(F.sha2(text.cast("binary"), 256))
-    rows = materialize(docs.select(docs[id_col].alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), whole.alias("whole"),
+    rows = materialize(docs.select(docs[f"`{id_col}`"].alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), whole.alias("whole"),
                                    *([text.cast("binary").alias("bytes")] if with_kept else [])))
     texts, spans = repeated_spans(docs, text_col, part_rows)
     cut = without_spans(texts, spans).select(

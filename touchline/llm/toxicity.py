@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import text_of
+from touchline.llm.common import plain, text_of
 
 THRESHOLD = 0.7
 
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              for label, n in ((1, s.toxic_rows), (0, s.ordinary_rows))]
     drawn.append(usable.where(~fit).orderBy("draw", "id").limit(s.calibration_rows))
     ids = drawn[0].union(drawn[1]).withColumn("use", F.lit("fit")).union(drawn[2].withColumn("use", F.lit("calibrate")))
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(
+    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).where(
         F.octet_length("text") <= s.row_bytes).join(F.broadcast(ids), "id")  # a sample of at most as many rows as Settings allows
     rows = sorted(texts.groupBy("id", "label", "use", "draw").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.draw, r.id))
     toxic, ordinary = ([r.text for r in rows if r.use == "fit" and r.label == k] for k in (1, 0))
@@ -235,7 +235,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Repeated rows are each scored; an empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col)
-    scored = score(docs, model, text_col, {"doc_id": docs[id_col]})
+    scored = score(docs, model, text_col, {"doc_id": docs[f"`{id_col}`"]})
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -243,6 +243,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows below ``THRESHOLD``, with their columns as they are."""
     model = train(docs, labels, id_col, text_col)
-    names = {f"_c{i}": docs[c] for i, c in enumerate(docs.columns)}
-    kept = score(docs, model, text_col, names, "_score").where(F.col("_score") < THRESHOLD)
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    safe, name = plain(docs)
+    kept = score(safe, model, name[text_col], {c: F.col(c) for c in safe.columns}, "_score").where(F.col("_score") < THRESHOLD)
+    return kept.select(*safe.columns).toDF(*docs.columns)
