@@ -1,5 +1,6 @@
 """The feature table against a sequential replay, and its properties."""
 
+import datetime as dt
 import math
 from collections import defaultdict
 
@@ -130,6 +131,22 @@ def test_snapshot_equals_next_row(spark, batch):
     assert (cold.home_known, cold.home_elo, cold.h_rest_days, cold.h_played, cold.h2h_played) == (False, 1500.0, 7.0, 0.0, 0.0)
 
 
+def test_as_of_equals_peeking_for_later_fixtures_and_sees_no_later_match(spark, batch):
+    m, spans = batch["matches"], ft.season_span(batch["parsed"])
+    columns = ("fixture_id", "date", "league", "season", "home_team", "away_team", "week")
+    end = m.agg(F.max("date")).first()[0]
+    later = m.where("row_idx % 97 = 0").withColumn("fixture_id", F.col("game_id")).withColumn("date", F.lit(end + dt.timedelta(days=2)).cast("timestamp_ntz"))
+    want = ft.peek_features(later.select(*columns), ft.history(m, CFG), CFG, spans)
+    got = ft.peek_as_of(later.select(*columns), m, CFG, spans)
+    assert got.columns == want.columns
+    short = [F.round(c, 7).alias(c) if c in NUMERIC_FEATURES else F.col(c) for c in got.columns]
+    assert got.count() == want.count() > 3 and got.select(*short).exceptAll(want.select(*short)).isEmpty()
+    half = m.where("row_idx < 500")
+    past = half.where("row_idx % 50 = 7").withColumn("fixture_id", F.col("game_id")).select(*columns, "game")
+    a, b = (ft.peek_as_of(past, x, CFG, spans).select(*short) for x in (m, half))
+    assert a.count() == 10 and a.exceptAll(b).isEmpty()
+
+
 def test_same_team_is_set_aside(spark):
     df = spark.createDataFrame([("l", "2425", "g", "1", "2024-08-16", 1.0, "a", "a", "1-0"),
                                 ("l", "2425", "g", "2", "TBD", 1.0, "a", "b", "1-0"),

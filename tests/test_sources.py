@@ -1,11 +1,12 @@
 import datetime as dt
 import json
+import os
 import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.sources import clean, landed, tables
+from touchline.sources import clean, dynamic, landed, pages, tables
 
 
 def test_clean_values(spark):
@@ -106,3 +107,55 @@ def test_feature_table_and_artifacts(spark, tmp_path):
         warnings.simplefilter("always")
         tables.load_artifact(spark, str(tmp_path / "a"), ["other"])
     assert any("rebuild" in str(w.message) for w in seen)
+
+
+def _land(spark, folder):
+    rows = [("L1", "2324", "g1"), ("L1", "2425", "g2"), ("L2", "2425", "g3")]
+    spark.createDataFrame(rows, "league string, season string, game_id string").withColumns(
+        {"_league": F.col("league"), "_season": F.col("season"), "week": F.lit(3)}).write.partitionBy("_league", "_season").json(folder)
+    odd = f"{folder}/_league=L3/_season=2526"
+    os.makedirs(odd)
+    with open(f"{odd}/part-9.json", "w") as f:
+        f.write('{"game_id": "g4", "week": "late"}\n\nnot json\n[1]\n{"game_id": 5, "week": 2.5}\n')
+
+
+def test_pages_source_prunes_folders_and_keeps_bad_lines(spark, tmp_path):
+    folder = str(tmp_path / "land")
+    _land(spark, folder)
+    rows = landed.read_landed(spark, folder, "schedule", reader="pages")
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 7
+    one = rows.where("_league = 'L1' AND _season = '2425'")
+    assert [(r.game_id, r.week, r._season) for r in one.collect()] == [("g2", 3.0, "2425")] and one.rdd.getNumPartitions() == 1
+    odd = sorted(map(tuple, rows.where("_league = 'L3'").select("game_id", "week", "_corrupt_record").collect()), key=repr)
+    assert odd == sorted([("g4", None, None), (None, None, "not json"), (None, None, "[1]"), ("5", 2.5, None)], key=repr)
+
+
+def test_pages_source_streams_each_file_once(spark, tmp_path):
+    folder, out = str(tmp_path / "land"), str(tmp_path / "out")
+    _land(spark, folder)
+
+    def run():
+        pages.stream_pages(spark, folder, "schedule").writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start().awaitTermination()
+        return spark.read.parquet(out).count()
+
+    assert run() == 7
+    with open(f"{folder}/_league=L3/_season=2526/qart.json", "w") as f:
+        f.write('{"game_id": "g6"}\n')
+    assert run() == 8
+
+
+def test_records_whose_fields_come_and_go(spark, tmp_path):
+    lines = ['{"team": "a", "Performance_Gls": 3, "age": "22-100"}', '{"team": "b", "Performance": {"Gls": "4"}, "Playing Time": {"Min": 90}}',
+             '{"team": "c", "Performance": [1]}', '{"team": "d"', '[1]', '7', '', '{}']
+    with open(tmp_path / "x.json", "w") as f:
+        f.write("\n".join(lines))
+    records = dynamic.read_records(spark, str(tmp_path))
+    got = {r.team: (r.Performance_Gls, r["Playing Time_Min"], r.age) for r in dynamic.collection(records, "player_standard").collect()}
+    assert got == {"a": ("3", None, "22-100"), "b": ("4", "90", None), "c": (None, None, None), None: (None, None, None)}
+    assert sorted(r.reject_reason for r in dynamic.rejected(records).collect()) == ["no JSON", "no object", "no object"]
+    events = tmp_path / "e"
+    events.mkdir()
+    (events / "e.json").write_text('{"game_id": "g", "x": "83.5"}\n{"game_id": "h", "x": 4}\n{"game_id": "i", "x": "far"}\n')
+    read = dynamic.collection(dynamic.read_records(spark, str(events)), "match_events")
+    assert {r.game_id: r.x for r in read.collect()} == {"g": 83.5, "h": 4.0, "i": None}

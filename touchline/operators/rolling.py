@@ -71,7 +71,7 @@ def prior_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], tra
                  recent: tuple[str, str, int] | None = None) -> DataFrame:
     """``rows`` plus, for each tracker group, the prior count and the prior averages (null when unset).
 
-    ``recent`` = (column, prefix, n) adds the last n prior values of a column as prefix_1 (latest) to prefix_n. ``order`` must be a
+    ``recent`` = (column, prefix, n) adds the last n prior values of a column, nulls left out, as prefix_1 (latest) to prefix_n. ``order`` must be a
     total order inside a key; one dense whole number, such as the row index, is used as it is, anything else is numbered first.
     ``rows`` is read once per set of ``by`` columns for the blocks' maps, on its own columns only, and once for the result.
     """
@@ -113,8 +113,10 @@ def _inside(df: DataFrame, on: list[str], at: str, span: int, group: Sequence[Tr
 
 def _last_inside(df: DataFrame, on: list[str], at: str, recent: tuple[str, str, int]) -> DataFrame:
     column, _, n = recent
-    window = Window.partitionBy(*on).orderBy(at)
-    return df.withColumns({"_p": F.row_number().over(window) - 1} | {f"_l_{i}": F.lag(column, i).over(window) for i in range(1, n + 1)})
+    before = Window.partitionBy(*on).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    window = f"(PARTITION BY {', '.join(f'`{c}`' for c in on)} ORDER BY `{at}`)"
+    return df.withColumns({"_p": F.count(column).over(before)} | {
+        f"_l_{i}": F.expr(f"lag(`{column}`, {i}) IGNORE NULLS OVER {window}") for i in range(1, n + 1)})
 
 
 def _row_states(t: Trackers, span: int) -> dict[str, Column]:
@@ -154,7 +156,8 @@ def _block_maps(base: DataFrame, on: list[str], at: str, span: int, group: Seque
             fields.append((_fade(t.decay, n - F.lit(span)) * F.coalesce(F.sum(_scaled(t, v, span)), F.lit(0.0))).alias(f"end_{o}"))
             fields.append(F.min_by(F.col(v).cast("double"), F.when(t.observed, F.col(at))).alias(f"first_{o}"))
     if recent:
-        last = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(recent[0]).alias("v"))))  # a block is bounded
+        last = F.array_sort(F.collect_list(F.when(F.col(recent[0]).isNotNull(), F.struct(
+            F.col(at).alias("at"), F.col(recent[0]).alias("v")))))  # a block is bounded
         fields.append(F.slice(last, F.greatest(F.size(last) - recent[2] + 1, F.lit(1)), recent[2]).alias("recent"))
     return inside.groupBy(*on, "_b").agg(F.struct(*fields).alias("m"))
 

@@ -328,6 +328,23 @@ rho_losses AS (SELECT l_orderkey % 5 AS league_idx, q.rho, avg(-ln(greatest(1e-9
                FROM v_predictions v JOIN masses q ON q.rate_home = v.rate_home AND q.rate_away = v.rate_away GROUP BY ALL)"""
 
 
+SPLIT_LATE = """
+newest AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM v_arrivals GROUP BY arrival),
+split AS (SELECT a.*, coalesce(a.ts < n.seen - INTERVAL 12 HOUR, FALSE) AS late FROM v_arrivals a JOIN newest n ON n.arrival = a.arrival)"""
+
+FIELDS_READ = {
+    "player_standard": {"Performance_Gls": "gls", "Playing Time_90s": "nineties", "Playing Time_Min": "minutes", "age": "age"},
+    "player_keeper": {"Performance_Save%": "save_pct", "Playing Time_Min": "minutes"},
+    "player_shooting": {"Standard_Gls": "gls", "Standard_Sh": "minutes"},
+    "player_playing_time": {"Playing Time_Min": "minutes", "Playing Time_90s": "nineties"},
+    "player_misc": {"Performance_Fls": "gls"}}
+KINDS_READ = "SELECT kind, field, team, season, value, count(*) AS rows FROM (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{n}' AS field, team, season, {c} AS value FROM v_drifting WHERE k % 13 <> 0 AND k % 17 <> 0"
+    + (" AND k % 3 <> 1" if n == list(fields)[-1] else "")
+    for kind, fields in FIELDS_READ.items() for n, c in fields.items()) + """
+ UNION ALL SELECT 'match_events', 'x', team, 'all', CAST(CAST(x AS BIGINT) AS VARCHAR) FROM v_match_events) t
+WHERE value IS NOT NULL GROUP BY kind, field, team, season, value"""
+
 TRAIN = """
 train AS (SELECT *, pow(0.5e0, date_diff('day', CAST(date AS DATE), max(CAST(date AS DATE)) OVER ()) / 390e0) AS w
           FROM m WHERE row_idx < (SELECT floor(count(*) * 0.7e0) FROM m))"""
@@ -402,6 +419,8 @@ FROM v_schedule v JOIN vocab h ON h.kind = 'team' AND h.value = v.home_team JOIN
 SELECT team, concat('T', lpad(CAST(CAST(substr(team, 2) AS INTEGER) % 5 AS VARCHAR), 2, '0')) AS component
 FROM (SELECT home_team AS team FROM v_schedule UNION SELECT away_team FROM v_schedule) t""", S),
         "feature_table": build([*EVENTFUL, ROWS, SIDES, H2H, ELO, SPAN, VOCAB], feature_select(), E, S),
+        "as_of_features": f"""
+SELECT game_id AS fixture_id, {", ".join(NUMERIC_FEATURES)} FROM ({build([*EVENTFUL, ROWS, SIDES, H2H, ELO, SPAN, VOCAB], feature_select(), E, S)}) t""",
         "feature_coverage": build(EVENTFUL, """
 SELECT (SELECT count(*) FROM m) AS rows_written, (SELECT count(*) FROM parsed WHERE reject_reason IS NOT NULL) AS rows_skipped,
        (SELECT CAST(sum(targets_present) AS BIGINT) FROM m) AS targets_present,
@@ -566,6 +585,25 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, CA
        'landed' AS _source, concat('L', o_orderstatus) AS _league, '9495' AS _season FROM orders""",
         "flattened_lineitem": """
 SELECT l_orderkey AS key_order, l_linenumber AS key_line, l_quantity AS amount_quantity, l_tax AS amount_rate_tax FROM lineitem""",
+        "live_late_rows": build([SPLIT_LATE], "SELECT arrival AS _batch, count(*) AS rows, count(*) FILTER (WHERE late) AS late FROM split GROUP BY arrival", "v_arrivals"),
+        "live_sliding_windows": build([SPLIT_LATE], """
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type,
+       count(*) AS events, round(sum(value), 4) AS total
+FROM (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts) - i * INTERVAL 2 HOUR AS w FROM split, range(3) r(i) WHERE NOT late) t
+GROUP BY w, event_type""", "v_arrivals"),
+        "live_sessions": build([SPLIT_LATE], """
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+       count(*) AS events
+FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+      FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 3 HOUR, TRUE) AS gap FROM split WHERE NOT late) g) s
+GROUP BY user_id, n HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 12 HOUR FROM split WHERE NOT late)""", "v_arrivals"),
+        "landed_source": build([], """
+SELECT league, season, game, game_id, date, CAST(week AS DOUBLE) AS week, home_team, away_team, score, league AS _league, season AS _season
+FROM v_schedule WHERE league IN ('L1', 'L3')""", S),
+        "landed_kinds": build([], KINDS_READ, "v_drifting", E),
+        "landed_rejects": build([], """
+SELECT CASE WHEN k % 13 = 0 THEN concat('{"team": "', team) ELSE '[1, 2]' END AS line, CASE WHEN k % 13 = 0 THEN 'no JSON' ELSE 'no object' END AS reject_reason
+FROM v_drifting WHERE k % 13 = 0 OR k % 17 = 0""", "v_drifting"),
         "live_event_windows": """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,

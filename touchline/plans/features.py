@@ -93,8 +93,8 @@ def indexed_matches(parsed: DataFrame, events: DataFrame | None = None,
 
 
 def team_rows(matches: DataFrame) -> DataFrame:
-    """Two rows per match, one per side, built in one scan."""
-    covered = F.col("targets_present") == 1
+    """Two rows per match, one per side, built in one scan. A match without goals adds nothing to anyone's history."""
+    played, covered = F.col("home_goals").isNotNull(), F.col("targets_present") == 1
 
     def side(me: str, other: str, home: bool) -> Column:
         def stat(who: str, c: str) -> Column:
@@ -103,13 +103,13 @@ def team_rows(matches: DataFrame) -> DataFrame:
         return F.struct(
             F.col(f"{me}_team").alias("team"), F.lit(home).alias("is_home"),
             F.col(f"{me}_goals").cast("double").alias("gf"), F.col(f"{other}_goals").cast("double").alias("ga"),
-            points(f"{me}_goals", f"{other}_goals").alias("pts"),
+            F.when(played, points(f"{me}_goals", f"{other}_goals")).alias("pts"),
             stat(me, "sot").alias("sot"), stat(me, "shots").alias("shots"),
             stat(other, "shots").alias("shots_against"), stat(me, "box_shots").alias("box_shots"),
             stat(me, "deep_comp").alias("deep_comp"))
 
     return matches.select(
-        "row_idx", "date", "season", F.inline(F.array(side("home", "away", True), side("away", "home", False))))
+        "row_idx", "date", F.when(played, F.col("date")).alias("played_on"), "season", F.inline(F.array(side("home", "away", True), side("away", "home", False))))
 
 
 def trackers(cfg: FeatureConfig) -> tuple[Trackers, Trackers, Trackers]:
@@ -123,8 +123,8 @@ def trackers(cfg: FeatureConfig) -> tuple[Trackers, Trackers, Trackers]:
 
 
 def season_debuts(rows: DataFrame) -> DataFrame:
-    """First row of each team in each season; one row per (team, season)."""
-    return rows.groupBy("team", "season").agg(F.min("row_idx").alias("debut"))
+    """First match of each team in each season; one row per (team, season)."""
+    return rows.where("played_on IS NOT NULL").groupBy("team", "season").agg(F.min("row_idx").alias("debut"))
 
 
 def new_to_season(rows: DataFrame, debuts: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _previous_dates(cfg: FeatureConfig) -> list[Column]:
 def side_features(rows: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """The 17 per-side features of each team row, from strictly prior matches."""
     prior = prior_states(rows, ["team"], ["row_idx"], trackers(cfg),
-                         ("date", "prev", cfg.congestion_memory))
+                         ("played_on", "prev", cfg.congestion_memory))
     flagged = new_to_season(prior, materialize(season_debuts(rows)))  # written, so its size decides how it is joined
     emas = {o: cold_start(o) for t in trackers(cfg) for o in t.values}
     return flagged.withColumns({
@@ -287,12 +287,12 @@ def team_state(matches: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Data
         rows.groupBy("team").agg(F.max("row_idx").alias("last_row"), F.max_by("date", "row_idx").alias("last_date"))
         .withColumn("is_home", F.explode(F.array(F.lit(True), F.lit(False))))
         .withColumns({**empty, "row_idx": _after(rows) + F.col("is_home").cast("long"),
-                      "date": F.lit(None).cast("timestamp_ntz"), "season": F.lit(None).cast("string"),
+                      "date": F.lit(None).cast("timestamp_ntz"), "played_on": F.lit(None).cast("timestamp_ntz"), "season": F.lit(None).cast("string"),
                       "closing": F.lit(True)})
     )
     both = rows.withColumn("closing", F.lit(False)).unionByName(closing, allowMissingColumns=True)
     prior = prior_states(both, ["team"], ["row_idx"], trackers(cfg),
-                         ("date", "prev", cfg.congestion_memory)).where("closing")
+                         ("played_on", "prev", cfg.congestion_memory)).where("closing")
     whole = ("gf_ema", "ga_ema", "pts_ema", "sot_ema", "shots_ema", "shots_against_ema", "box_shots_ema",
              "deep_comp_ema")
     at = {v: F.col("is_home") == v for v in (True, False)}
@@ -369,3 +369,38 @@ def peek_features(fixtures: DataFrame, known: History, cfg: FeatureConfig = Feat
     elif "season_progress" not in out.columns:
         out = out.withColumn("season_progress", F.lit(0.0))
     return out.select(*fixtures.drop("season_progress").columns, "home_known", "away_known", *NUMERIC_FEATURES)
+
+
+def peek_as_of(fixtures: DataFrame, matches: DataFrame, cfg: FeatureConfig = FeatureConfig(), spans: DataFrame | None = None) -> DataFrame:
+    """Features of fixtures of any date, each from the matches before it in (date, game, game_id); later ones stay unseen.
+
+    ``fixtures``: fixture_id, date, league, season, home_team, away_team, a game (without one: before all matches of its date) and either
+    season_progress or week (with ``spans``). ``matches``: ``indexed_matches``. Fixtures are put among the matches as rows without
+    goals, so one ordered pass of the operators that make the training features gives both the histories and what each fixture sees.
+    """
+    game = F.col("game") if "game" in fixtures.columns else F.lit("")
+    asked = fixtures.select(
+        "date", game.alias("game"), F.col("fixture_id").cast("string").alias("game_id"), "season", "home_team", "away_team",
+        F.lit(True).alias("_fixture"))
+    history = matches.select(*[c for c in matches.columns if c in {
+        "date", "game", "game_id", "season", "home_team", "away_team", "home_goals", "away_goals", "targets_present",
+        *[f"{s}_{c}" for s in ("home", "away") for c in EVENT_STATS]}]).withColumn("_fixture", F.lit(False))
+    # A fixture stands before a match of its own id.
+    both = row_index(history.unionByName(asked, allowMissingColumns=True).withColumn("_after", ~F.col("_fixture")), (*ORDER, "_after"))
+    rows = team_rows(both)
+    replayed = elo(both.where("NOT _fixture"), cfg.elo_base, cfg.elo_k)
+    rated = replayed.join(both.select("row_idx", "home_team", "away_team"), "row_idx").select("row_idx", F.inline(F.array(*[
+        F.struct(F.col(f"{s}_team").alias("team"), F.col(f"{s}_elo_after").alias("_after")) for s in ("home", "away")])))
+    last = prior_states(rows.select("row_idx", "team", "is_home").join(rated, ["row_idx", "team"], "left"), ["team"], ["row_idx"], [],
+                        ("_after", "_elo", 1)).select("row_idx", "is_home", cold_start("_elo_1", cfg.elo_base).alias("elo"))
+    ratings = last.groupBy("row_idx").agg(*[
+        F.max(F.when(F.col("is_home") == home, F.col("elo"))).alias(f"{s}_elo") for s, home in (("home", True), ("away", False))])
+    out = (
+        both.where("_fixture").select("row_idx", F.col("game_id").alias("_id"))
+        .join(both_sides(side_features(rows, cfg)), "row_idx").join(head_to_head(both, cfg), "row_idx").join(ratings, "row_idx")
+        .withColumns({**differences(), "home_known": F.col("h_played") > 0, "away_known": F.col("a_played") > 0}))
+    given = add_progress(fixtures, spans) if spans is not None else fixtures
+    if "season_progress" not in given.columns:
+        given = given.withColumn("season_progress", F.lit(0.0))
+    joined = given.withColumn("_id", F.col("fixture_id").cast("string")).join(out, "_id")
+    return joined.select(*fixtures.drop("season_progress").columns, "home_known", "away_known", *NUMERIC_FEATURES)

@@ -6,8 +6,9 @@ import contextlib
 import uuid
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from touchline.config import EVENT_STATS, NUMERIC_FEATURES, STAT_TARGETS, FeatureConfig, LossConfig, ModelConfig, SplitConfig
@@ -24,7 +25,7 @@ from touchline.plans import store
 from touchline.plans import training as tr
 from touchline.plans.predict import predict_fixtures
 from touchline.session import checkpoint_dir, materialize
-from touchline.sources import clean, landed, tables
+from touchline.sources import clean, dynamic, landed, pages, tables  # noqa: F401  pages registers its reader
 from touchline.streaming import landing, live
 from touchline.views import view
 
@@ -324,6 +325,14 @@ def peek_features(spark, sf):
     return rounded(ft.peek_features(_fixtures(spark, sf), known, CFG, spans))
 
 
+@query
+def as_of_features(spark, sf):
+    """Every played match asked for as a fixture of its own date: it sees what the feature table saw."""
+    matches = indexed(spark, sf, True)
+    asked = matches.select(F.col("game_id").alias("fixture_id"), "date", "game", "league", "season", "home_team", "away_team", "week")
+    return rounded(ft.peek_as_of(asked, matches, CFG, ag.season_span(schedule(spark, sf))).select("fixture_id", *NUMERIC_FEATURES))
+
+
 @query
 def known_teams(spark, sf):
     state = ft.team_state(indexed(spark, sf), CFG)
@@ -690,6 +699,70 @@ def landed_schedule(spark, sf):
     return landed.read_landed(spark, path, "schedule").drop("_corrupt_record", "_source")
 
 
+@query
+def landed_source(spark, sf):
+    """Landed lines of two leagues through the data source, which reads their folders only."""
+    path = scratch(spark, "pages")
+    clean.tag_provenance(schedule(spark, sf), "landed", F.col("league"), F.col("season")).write.partitionBy("_league", "_season").json(path)
+    rows = landed.read_landed(spark, path, "schedule", reader="pages").where("_league IN ('L1', 'L3')")
+    return rows.drop("_corrupt_record", "_source")
+
+
+#: Of each landed kind, the fields of its records besides team and season, and the player columns they are made of.
+DRIFTING = {
+    "player_standard": {"Performance_Gls": "gls", "Playing Time_90s": "nineties", "Playing Time_Min": "minutes", "age": "age"},
+    "player_keeper": {"Performance_Save%": "save_pct", "Playing Time_Min": "minutes"},
+    "player_shooting": {"Standard_Gls": "gls", "Standard_Sh": "minutes"},
+    "player_playing_time": {"Playing Time_Min": "minutes", "Playing Time_90s": "nineties"},
+    "player_misc": {"Performance_Fls": "gls"},
+}
+
+
+def _drifting_line(fields: dict[str, str]) -> Column:
+    """Records in three shapes by turns: flat, with objects, and without their last field; some lines are cut off, some hold a list."""
+    tags = [F.col(c) for c in ("team", "season")]
+    flat = F.to_json(F.struct(*tags, *[F.col(c).alias(n) for n, c in fields.items()]))
+    grouped: dict[str, list[Column]] = {}
+    for n, c in fields.items():
+        head, _, rest = n.partition("_")
+        grouped.setdefault(head, []).append(F.col(c).alias(rest or n))
+    nested = F.to_json(F.struct(*tags, *[v[0].alias(h) if h in fields else F.struct(*v).alias(h) for h, v in grouped.items()]))
+    fewer = F.to_json(F.struct(*tags, *[F.col(c).alias(n) for n, c in list(fields.items())[:-1]]))
+    return (F.when(F.col("k") % 13 == 0, F.concat(F.lit('{"team": "'), F.col("team"))).when(F.col("k") % 17 == 0, F.lit("[1, 2]"))
+            .when(F.col("k") % 3 == 0, nested).when(F.col("k") % 3 == 1, fewer).otherwise(flat))
+
+
+@query
+def landed_kinds(spark, sf):
+    """Records of six kinds whose fields come and go, read back into their declared columns: how many have which value."""
+    players = materialize(view(spark, sf, "v_drifting"))
+    out = []
+    for kind, fields in DRIFTING.items():
+        path = scratch(spark, f"drift-{kind}")
+        players.select(_drifting_line(fields).alias("value")).write.text(path)
+        rows = dynamic.collection(dynamic.read_records(spark, path), kind)
+        out.append(rows.select("team", "season", F.inline(F.array(*[
+            F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("field"), F.col(f"`{n}`").alias("value")) for n in fields]))))
+    path = scratch(spark, "drift-events")
+    e = events(spark, sf)
+    e.select(F.to_json(F.struct("game_id", "team", "type", F.when(F.col("type") != "Pass", F.col("x")).alias("x"), F.when(
+        F.col("type") == "Pass", F.col("x").cast("string")).alias("x_"))).alias("value")).select(
+        F.regexp_replace("value", '"x_"', '"x"').alias("value")).write.text(path)
+    rows = dynamic.collection(dynamic.read_records(spark, path), "match_events")
+    out.append(rows.select("team", F.lit("all").alias("season"), F.lit("match_events").alias("kind"), F.lit("x").alias("field"),
+                           F.col("x").cast("long").cast("string").alias("value")))
+    found = reduce(DataFrame.unionByName, out).where("value IS NOT NULL")
+    return found.groupBy("kind", "field", "team", "season", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def landed_rejects(spark, sf):
+    """Lines that are no records stay, with the reason."""
+    path = scratch(spark, "drift-bad")
+    view(spark, sf, "v_drifting").select(_drifting_line(DRIFTING["player_standard"]).alias("value")).write.text(path)
+    return dynamic.rejected(dynamic.read_records(spark, path))
+
+
 # Models
 
 def _splits(spark, sf):
@@ -782,6 +855,50 @@ def live_event_windows(spark, sf):
         "event_type", "events", F.round("total", 4).alias("total"))
 
 
+def _split_arrivals(spark, sf):
+    """The arrivals replayed batch by batch in disorder: a folder with all rows, late ones marked."""
+    arrivals, source, folder = materialize(view(spark, sf, "v_arrivals")), scratch(spark, "arrivals"), scratch(spark, "split")
+    for (n,) in sorted(arrivals.select("arrival").distinct().collect()):  # a few batches, landed one after the other
+        arrivals.where(F.col("arrival") == n).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, arrival int").option(
+        "maxFilesPerTrigger", 1).parquet(source)
+    live.start_split(stream, "ts", "12 hours", folder, scratch(spark, "split-cp")).awaitTermination()
+    return f"{folder}/rows"
+
+
+def _on_time(spark, rows):
+    schema = spark.read.parquet(rows).schema
+    return spark.readStream.schema(schema).parquet(rows).where("NOT _late")
+
+
+@query
+def live_late_rows(spark, sf):
+    """Rows per batch, and how many of them came after the watermark."""
+    rows = spark.read.parquet(_split_arrivals(spark, sf))
+    return rows.groupBy("_batch").agg(F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late"))
+
+
+@query
+def live_sliding_windows(spark, sf):
+    rows = _split_arrivals(spark, sf)
+    counted = live.windowed_counts(_on_time(spark, rows), "ts", ["event_type"], "6 hours", "2 hours", "12 hours", total=F.sum("value"))
+    table = scratch(spark, "sliding")
+    live.write_updates(counted, table, scratch(spark, "sliding-cp")).awaitTermination()
+    return live.current_totals(spark.read.parquet(table), ["window_start", "window_end", "event_type"]).select(
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("window_start", "window_end")], "event_type", "events",
+        F.round("total", 4).alias("total"))
+
+
+@query
+def live_sessions(spark, sf):
+    """Sessions that are closed for good when the stream ends."""
+    rows = _split_arrivals(spark, sf)
+    table = scratch(spark, "sessions")
+    live.start_append(live.sessions(_on_time(spark, rows), "ts", ["user_id"], "3 hours", "12 hours"), table, scratch(spark, "sessions-cp")).awaitTermination()
+    return spark.read.parquet(table).select(
+        "user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")], "events")
+
+
 @query
 def live_landing(spark, sf):
     path, table = scratch(spark, "land-in"), scratch(spark, "land-out")

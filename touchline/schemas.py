@@ -25,8 +25,12 @@ COLLECTIONS = {
 }
 
 
-def landed_schema(kind: str) -> StructType:
+def landed_ddl(kind: str) -> str:
     """Columns of a collection, its provenance tags and the text of a line that cannot be parsed."""
     if kind not in COLLECTIONS:
         raise ValueError(f"unknown collection {kind!r}; known: {sorted(COLLECTIONS)}")
-    return StructType.fromDDL(f"{COLLECTIONS[kind]}, {_TAGS}, {_CORRUPT}")
+    return f"{COLLECTIONS[kind]}, {_TAGS}, {_CORRUPT}"
+
+
+def landed_schema(kind: str) -> StructType:
+    return StructType.fromDDL(landed_ddl(kind))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from touchline.config import FeatureConfig
 from touchline.functions.events import event_flags
-from touchline.sources.tables import replace_partitions
+from touchline.sources.tables import read_table, replace_partitions
 
 
 def live_event_stats(events: DataFrame) -> DataFrame:
@@ -35,6 +35,28 @@ def sessions(events: DataFrame, time: str, keys: Sequence[str], gap: str, delay:
         F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "events")
 
 
+def start_split(events: DataFrame, time: str, delay: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Every batch's rows into ``folder``/rows, partitioned by ``_late`` and ``_batch``, so that late rows are kept and counted.
+
+    A row is late when it lies before the newest time of all earlier batches less ``delay``: the watermark that batch starts with. The
+    newest time of each batch is a row of ``folder``/marks. A batch that runs again replaces its own partitions.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        marks = read_table(batch.sparkSession, f"{folder}/marks")
+        seen = None if marks is None else marks.where(F.col("_batch") < batch_id).agg(F.max("newest")).first()[0]
+        late = F.lit(False) if seen is None else F.coalesce(F.col(time) < F.lit(seen) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        replace_partitions(batch.withColumns({"_late": late, "_batch": F.lit(batch_id)}), f"{folder}/rows", ["_late", "_batch"])
+        replace_partitions(batch.agg(F.max(time).alias("newest")).withColumn("_batch", F.lit(batch_id)), f"{folder}/marks", ["_batch"])
+
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_append(totals: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Totals that no later row can change, once each."""
+    return totals.writeStream.format("parquet").option("path", table).outputMode("append").option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_updates(totals: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Each batch's changed totals go to their own partition; the newest batch per key is the current total."""
     def store(batch: DataFrame, batch_id: int) -> None:

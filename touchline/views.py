@@ -90,7 +90,26 @@ SELECT p_brand AS tag, CAST(p_partkey % 5 AS INT) AS seed, 40 + p_size % 3 AS nu
 FROM {part}
 """
 
+# Events in the batches they arrive in: most soon, some days after they happened.
+ARRIVALS = """
+SELECT event_id, ts, user_id, event_type, value,
+       CAST(floor((hours + CASE WHEN event_id % 7 = 0 THEN (event_id * 37) % 90 ELSE (event_id * 13) % 3 END) / 120e0) AS INT) AS arrival
+FROM (SELECT *, 24 * (CAST(substr(CAST(ts AS STRING), 9, 2) AS INT) - 1) + CAST(substr(CAST(ts AS STRING), 12, 2) AS INT) AS hours FROM {events}) e
+"""
+
+DRIFTING = """
+SELECT c_custkey AS k, team, season, age, gls, nineties, minutes, save_pct
+FROM (SELECT concat('T', lpad(CAST(c_nationkey AS STRING), 2, '0')) AS team,
+       CASE c_custkey % 3 WHEN 0 THEN '9596' WHEN 1 THEN '9697' ELSE '9899' END AS season, CAST(18 + c_custkey % 20 AS STRING) AS age,
+       CAST(c_custkey % 17 AS STRING) AS gls, CAST(c_custkey % 34 AS STRING) AS nineties,
+       CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE CAST((c_custkey * 37) % 3000 AS STRING) END AS minutes,
+       CASE WHEN c_custkey % 11 = 0 THEN CAST(50 + c_custkey % 45 AS STRING) ELSE NULL END AS save_pct, c_custkey
+FROM {customer}) p
+"""
+
 VIEWS = {
+    "v_drifting": (DRIFTING, ("customer",)),
+    "v_arrivals": (ARRIVALS, ("events",)),
     "v_schedule": (SCHEDULE, ("orders", "customer", "nation")),
     "v_match_events": (MATCH_EVENTS, ("lineitem", "v_schedule")),
     "v_players": (PLAYERS, ("customer",)),
