@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import pytest
-from public_tokenizers import path
+from public_tokenizers import PATTERN, path
 
 from touchline.llm import alignment
 from touchline.llm.alignment import Pair, align_documents, chunks, pair_counts, pair_table
@@ -21,7 +21,7 @@ def plain(texts):
 
     a_of, b_of = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a_of.encode_special_tokens = True
-    pair = Pair(A, B)
+    pair = Pair(A, B, PATTERN)
     found, docs = [], Counter()
     for text in texts:
         a = a_of.encode(" " + (text or ""), add_special_tokens=False).ids
@@ -52,7 +52,7 @@ def test_equals_the_byte_by_byte_version(frame, monkeypatch, chunk, part):
     monkeypatch.setattr(alignment, "CHUNK_CHARS", chunk)
     monkeypatch.setattr(alignment, "PART_PAIRS", part)
     rows = list(enumerate(TEXTS)) + [(0, TEXTS[0]), (None, "a null id")]
-    got = sorted(map(tuple, align_documents(frame(rows).repartition(2), A, B).collect()), key=repr)
+    got = sorted(map(tuple, align_documents(frame(rows).repartition(2), A, B, PATTERN).collect()), key=repr)
     _, want = plain([t for _, t in rows])
     assert got == sorted([(i, *w) for (i, _), w in zip(rows, want)], key=repr)
     assert sum(g[1] == 0 for g in got) >= 3 and any(g[3] < min(g[1], g[2]) for g in got)
@@ -60,16 +60,27 @@ def test_equals_the_byte_by_byte_version(frame, monkeypatch, chunk, part):
 
 def test_pair_table_counts_documents(frame):
     rows = list(enumerate(TEXTS))
-    counts, _ = pair_counts(chunks(frame(rows), A, B, "doc_id", "text"))
+    counts, _ = pair_counts(chunks(frame(rows), A, B, PATTERN, "doc_id", "text"))
     docs, _ = plain(TEXTS)
     assert {(r.a, r.b): r.docs for r in pair_table(counts).collect()} == dict(docs)
 
 
 def test_empty_table_and_remembered_windows(frame, monkeypatch):
-    assert align_documents(frame([]).limit(0), A, B).count() == 0
-    pair, text = Pair(A, B), "one two three one two three"
+    assert align_documents(frame([]).limit(0), A, B, PATTERN).count() == 0
+    pair, text = Pair(A, B, PATTERN), "one two three one two three"
     (a, b), = pair.encode([text])
     first = pair.windows(a, b)
-    assert len(pair.known) == 3 and [w[1] for w in first[:3]] == [w[1] for w in first[3:]]
-    monkeypatch.setattr(alignment, "WINDOWS_KEPT", 1)
-    assert [w[1] for w in Pair(A, B).windows(a, b)] == [w[1] for w in first]
+    assert len(pair.known) == 3 and first[:3] == first[3:]
+    assert pair.figures([first])[:2] == ([6], [len(a)]) and len(a) == len(b)
+    monkeypatch.setattr(alignment, "WINDOW_IDS", 1)
+    again = Pair(A, B, PATTERN)
+    assert again.figures([again.windows(a, b)])[:3] == pair.figures([first])[:3] and not again.known
+
+
+def test_first_vocabulary_equals_the_library():
+    from tokenizers import Tokenizer
+
+    whole, fast = Tokenizer.from_file(A), alignment.First(A, PATTERN)
+    whole.encode_special_tokens = True
+    texts = [" " + (t or "") for t in TEXTS]
+    assert fast.encode(texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]

@@ -97,4 +97,4 @@ def op12_conversation_repair(spark, sf_dir):
 
 @query
 def op11_token_alignment(spark, sf_dir):
-    return align_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return align_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), PATTERN)
