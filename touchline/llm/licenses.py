@@ -1,7 +1,16 @@
-"""License notices in text: MinHash bands find templates at every word, exact containment over wide windows confirms them."""
+"""License notices in text: MinHash bands of the windows at every word find templates, exact containment confirms them.
+
+A window's signature has, per band, the least of its shingles' hashes under the band's function; a template is retrieved where a window
+agrees with it in a band. Two sets agree in a band with the probability of their similarity, which for a match is at least what
+``Template.similarity`` says, so the number of bands follows from ``MISSED``, the most a match may be missed.
+
+Signatures are not written out: a window agrees in a band exactly when it holds the template's least shingle and nothing less, so
+only around the few places that hold such a shingle are the band's hashes looked at, as far as windows reach.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +23,8 @@ from pyspark.sql import types as T
 from touchline.llm.common import text_of
 
 WORDS, CONTAINMENT = 5, 0.8
-#: Bands of one row each at least; templates get more until the least shingles of their bands are more than a match may lack,
-#: so no match lacks them all.
-BANDS = 16
+#: Largest probability that a match agrees with its template in no band.
+MISSED = 1e-7
 SEED = 42
 MARKS = b"\t\n\x0b\x0c\r.,;:!?()[]{}<>\"'`*#/\\|-_=+"
 SEPARATORS = bytes.maketrans(MARKS, b" " * len(MARKS))
@@ -28,25 +36,48 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
-        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "SPDX-License-Identifier: Apache-2.0"],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version."],
+        "later version.",
+        "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only"],
+    "AGPL-3.0": [
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only"],
     "GPL-2.0": [
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 "
         "of the License, or (at your option) any later version."],
     "LGPL": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                "SPDX-License-Identifier: MPL-2.0"],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0"],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met"],
+        "following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+        "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause"],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."],
@@ -88,21 +119,6 @@ def band_keys(hashes: np.ndarray, band: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-class Minima:
-    """Minima over runs of neighbours: a table for widths that are powers of two, of which two cover any width."""
-
-    def __init__(self, values: np.ndarray, widest: int) -> None:
-        self.tables = [values]
-        while 2 ** len(self.tables) <= widest:
-            last, half = self.tables[-1], 2 ** (len(self.tables) - 1)
-            self.tables.append(np.minimum(last[:len(last) - half], last[half:]))
-
-    def over(self, starts: np.ndarray, width: int) -> np.ndarray:
-        level = width.bit_length() - 1
-        table = self.tables[level]
-        return np.minimum(table[starts], table[starts + (width - 2 ** level)])
-
-
 @dataclass
 class Template:
     license: str
@@ -111,6 +127,21 @@ class Template:
     shingles: frozenset[int]
     needed: int  # shingles a match holds at least
 
+    @property
+    def width(self) -> int:
+        """Shingles of a window."""
+        return window_shape(self.words)[0] - WORDS + 1
+
+    @property
+    def similarity(self) -> float:
+        """Least similarity of the template and a window that holds a match: all other shingles of the window are its own."""
+        return self.needed / (self.width + len(self.shingles) - self.needed)
+
+    @property
+    def bands(self) -> int:
+        """Bands of one row each, so many that a match is missed with a probability of at most ``MISSED``."""
+        return math.ceil(math.log(MISSED) / math.log1p(-self.similarity)) if self.similarity < 1 else 1
+
 
 class Scanner:
     """Templates and their bands; ``scan`` returns the matches of some texts."""
@@ -127,21 +158,14 @@ class Scanner:
                 shingles = frozenset(shingle_hashes(self._hashes(parts), words).tolist())
                 needed = next(n for n in range(len(shingles) + 1) if n / len(shingles) >= containment)
                 self.templates.append(Template(name, number, len(parts), shingles, needed))
-        self.sketches = [self._sketch(t) for t in self.templates]
-        self.known = np.unique(np.concatenate(self.sketches)) if self.sketches else np.zeros(0, np.uint64)
-
-    @staticmethod
-    def _sketch(template: Template) -> np.ndarray:
-        """The shingles that are least under some band."""
-        shingles, least, band = np.array(sorted(template.shingles), np.uint64), set(), 0
-        while band < BANDS or len(least) <= len(shingles) - template.needed:
-            least.add(int(shingles[band_keys(shingles, band).argmin()]))
-            band += 1
-        return np.array(sorted(least), np.uint64)
-
-    def least_jaccard(self) -> float:
-        """The smallest similarity of a template to those of its shingles that a match holds."""
-        return min(t.needed / len(t.shingles) for t in self.templates)
+        #: Of every shingle that is some template's least: the templates and the bands in which it is.
+        self.least: dict[int, dict[int, list[int]]] = {}
+        for i, t in enumerate(self.templates):
+            shingles = np.array(sorted(t.shingles), np.uint64)
+            for band in range(t.bands):
+                least = int(shingles[band_keys(shingles, band).argmin()])
+                self.least.setdefault(least, {}).setdefault(i, []).append(band)
+        self.known = np.array(sorted(self.least), np.uint64)
 
     def _hashes(self, parts: list[bytes]) -> np.ndarray:
         known = self.hash_of
@@ -152,17 +176,32 @@ class Scanner:
         return np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
 
     def _near(self, each: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(place of the text, place of the template) where a text holds the least shingle of a band."""
+        """(place of the text, place of the template) where a window of the text agrees with the template in a band."""
         hashes = np.concatenate([np.zeros(0, np.uint64), *each])
         if not len(hashes) or not len(self.known):
             return []
         place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         at = np.flatnonzero(self.known[place] == hashes)
-        text = np.searchsorted(np.cumsum([len(h) for h in each]), at, side="right")
-        held: dict[int, list[int]] = {}
-        for t, h in zip(text.tolist(), hashes[at].tolist()):
-            held.setdefault(t, []).append(h)
-        return [(t, i) for t, some in held.items() for i, sketch in enumerate(self.sketches) if not set(some).isdisjoint(sketch.tolist())]
+        upto = np.cumsum([len(h) for h in each])
+        text = np.searchsorted(upto, at, side="right")
+        found: set[tuple[int, int]] = set()
+        for t, p in zip(text.tolist(), (at - np.append(0, upto)[text]).tolist()):
+            for i, bands in self.least[int(each[t][p])].items():
+                if (t, i) not in found and any(self._agrees(each[t], p, self.templates[i].width, band) for band in bands):
+                    found.add((t, i))
+        return sorted(found)
+
+    @staticmethod
+    def _agrees(hashes: np.ndarray, p: int, width: int, band: int) -> bool:
+        """Whether some window holds the shingle at p and nothing less under the band: the stretch around p without less is wide enough."""
+        start = max(0, p - width + 1)
+        keys = band_keys(hashes[start:p + width], band)
+        here = p - start
+        less = np.flatnonzero(keys < keys[here])
+        cut = np.searchsorted(less, here)
+        first = less[cut - 1] + 1 if cut else 0
+        last = less[cut] if cut < len(less) else len(keys)
+        return last - first >= min(width, len(hashes))
 
     def _best(self, template: Template, hashes: np.ndarray) -> tuple[float, int, int] | None:
         """(containment, first word, windows): the first of the best windows, and how many hold enough.
