@@ -67,7 +67,8 @@ def test_equals_all_strings(spark, frame, monkeypatch, seed, part_rows, run_rows
     assert got == dict(enumerate(brute(texts)))
 
 
-def test_a_gram_common_to_very_many_contexts(spark, frame):
+def test_a_gram_common_to_very_many_contexts(spark, frame, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_ROWS", 5)  # blocks are smaller than parts, as they are at scale
     rng = random.Random(5)
     passage = prose(rng, 70)
     texts = [prose(rng, 60) + passage + prose(rng, 60) for _ in range(60)]
@@ -78,6 +79,19 @@ def test_a_gram_common_to_very_many_contexts(spark, frame):
     assert choose_parts(sd.sorted_runs(found, sd.candidate_anchors(found)), 20, 1000)[1]  # parts do begin inside a gram
 
 
+def test_parts_keep_their_size(frame, monkeypatch):
+    """With many more contexts than draws at least, parts grow in number, not in size, and no gram passes for a common one."""
+    monkeypatch.setattr(sd, "BLOCK_ROWS", 5)
+    rng = random.Random(8)
+    for many in (20, 160):
+        passages = [prose(rng, 60) for _ in range(many)]
+        found = sd.distinct_texts(frame([(2 * i + j, prose(rng, 5) + p + prose(rng, 5)) for i, p in enumerate(passages) for j in (0, 1)]), "text")
+        runs = sd.sorted_runs(found, sd.candidate_anchors(found))
+        total = runs.where("block >= 0").agg({"many": "count"}).first()[0] * 5
+        splits, hot = choose_parts(runs, 40, 10)
+        assert len(splits) > 0.4 * total / 40 and not hot
+
+
 def test_edge_cases(frame):
     long = "".join(chr(97 + (i * i + i // 7) % 23) for i in range(30_000))
     rows = [(1, long), (None, None), (2, ""), (2, ""), (3, "short"), (None, "z" * 300), (4, "é" * 150)]

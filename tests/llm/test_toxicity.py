@@ -1,9 +1,11 @@
 """Toxicity: held-out accuracy, what scores may depend on, and edge cases."""
 
+import math
 import random
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from touchline.llm import toxicity as tox
@@ -73,3 +75,27 @@ def test_windows_cover_the_whole_text():
     assert windows("", 12) == [b"  "] and len(windows("x" * 100_000, 12)) == 1
     assert tox._train([b"ab", b"cd"], 100) == b"abcd"
     assert Settings().row_bytes and tox._without_copies(["some text " * 30, "some text " * 30, "other words " * 30]) != []
+
+
+def test_scores_equal_a_plain_version(labelled, frame):
+    """Every window compressed with either dictionary by fresh compressors, savings added up by hand."""
+    docs, labels = labelled
+    model = train(docs, labels)
+
+    def size(window, content):
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            6, source_size=128, dict_size=len(content), min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0,
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=settings)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(window))
+
+    texts = [r.text for r in docs.where("doc_id < 25").collect()] + ["", "on the", "VILEGIT, grublout!"]
+    got = {r.doc_id: r.score for r in score(frame(list(enumerate(texts))), model, keep={"doc_id": F.col("doc_id")}).collect()}
+    for i, text in enumerate(texts):
+        words, savings = text.lower().split(), []
+        for at in range(0, max(1, len(words)), model.settings.window_words):
+            window = f" {' '.join(words[at:at + model.settings.window_words])} ".encode() + model.ordinary[-model.settings.tail_bytes:]
+            savings.append(max(0, size(window, model.ordinary) - size(window, model.toxic + model.ordinary)))
+        z = model.weights[0] + model.weights[1] * min(max(savings), 12) + model.weights[2] * math.log1p(sum(savings))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-12), i

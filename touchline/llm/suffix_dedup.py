@@ -25,8 +25,9 @@ SEGMENT = 1 << 19
 PLACE_BITS = 20
 #: Anchors matched inside a task before the others are shuffled; suffixes of a sorted run, of its blocks and of a merged part.
 CHUNK_ANCHORS, RUN_ROWS, BLOCK_ROWS, PART_ROWS = 500_000, 60_000, 256, 20_000
-#: Block keys drawn to choose where parts begin: a bound on what the driver holds.
-SPLIT_SAMPLE = 20_000
+#: Block keys drawn to choose where parts begin: so many per part, and so many at least. The driver holds them: about 0.1 MB per 2.5 M
+#: contexts, which is the scale at which this operator ends (a gigabyte of them at some 2 TB of text).
+DRAWS_PER_PART, SPLIT_SAMPLE = 8, 20_000
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -284,10 +285,12 @@ def choose_parts(runs: DataFrame, part_rows: int, sample: int) -> tuple[list[byt
     blocks = runs.where("block >= 0")
     total = blocks.agg(F.coalesce(F.sum(F.length("many")), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_rows))
-    drawn = sorted(r[0] for r in blocks.select("first").orderBy(F.xxhash64("chunk", "block")).limit(sample).collect())
+    wanted = max(sample, DRAWS_PER_PART * parts)  # so a part's size stays what it is, however many there are
+    drawn = sorted(r[0] for r in blocks.select("first").orderBy(F.xxhash64("chunk", "block")).limit(wanted).collect())
     picks = [drawn[len(drawn) * i // parts] for i in range(1, parts)] if drawn else []
-    grams = Counter(p[:GRAM] for p in picks)
-    hot = {g for g, n in grams.items() if n > 1}
+    # A gram is common when it fills more than a part: it has more than a part's share of the draws.
+    grams, share = Counter(p[:GRAM] for p in drawn), len(drawn) / parts
+    hot = {g for g in {p[:GRAM] for p in picks} if grams[g] > max(share, 1)}
     return sorted({p if p[:GRAM] in hot else p[:GRAM] for p in picks}), hot
 
 
@@ -318,13 +321,13 @@ PIECE_COLUMNS = [field.split()[0] for field in PIECES.split(", ")]
 VERDICTS = "chunk long, numbers array<int>, least array<int>, most array<int>, string binary, many int"
 
 
-def merge_parts(runs: DataFrame, part_rows: int = PART_ROWS, sample: int = SPLIT_SAMPLE) -> DataFrame:
+def merge_parts(runs: DataFrame, part_rows: int | None = None, sample: int | None = None) -> DataFrame:
     """Per chunk and context, runs of offsets whose strings also stand elsewhere; from merging all runs part by part.
 
     Parts hold about ``part_rows`` contexts by sampled splitters. Contexts of a gram that parts begin inside give a digest row per string
     instead, which the caller counts over all parts.
     """
-    splits, hot = choose_parts(runs, part_rows, sample)
+    splits, hot = choose_parts(runs, PART_ROWS if part_rows is None else part_rows, SPLIT_SAMPLE if sample is None else sample)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks cut where parts begin, so each context goes to one part."""
