@@ -72,7 +72,7 @@ def test_small_cases_reach_the_optimum():
 def test_a_search_cut_short_keeps_best_fit():
     rng = random.Random(9)
     lengths = [rng.randint(20, 60) for _ in range(200)]
-    assert len(complete_bins(lengths, 100, nodes=1)) <= len(best_fit(sorted(lengths, reverse=True), 100))
+    assert len(complete_bins(lengths, 100, steps=1)) <= len(best_fit(sorted(lengths, reverse=True), 100))
 
 
 def check(rows, capacity):

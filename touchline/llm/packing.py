@@ -7,6 +7,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,9 @@ from touchline.session import materialize
 CAPACITY = 4096
 #: Pieces packed together, about. Each such group loses less than one sequence to its last, unfilled one.
 GROUP_ROWS = 20_000
-#: Steps of one batch of fillings, and fillings tried in one search. ``NODES`` bounds the effort, not the pieces: a search that ends
-#: early keeps its best-fit solution.
-FILLINGS, NODES = 400, 60_000
+#: Steps of one batch of fillings, and of one group's whole search. ``STEPS`` bounds the effort, not the pieces: a search that
+#: ends early keeps its best-fit solution.
+FILLINGS, STEPS = 400, 250_000
 WORDS_KEPT = 500_000
 #: The id at the end of each document.
 END = array("I", [1]).tobytes()
@@ -122,22 +123,31 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, batch: int = FILLINGS) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+@dataclass
+class Effort:
+    """Steps a search may still take."""
+
+    left: int
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, batch: int = FILLINGS, effort: Effort | None = None,
+             ) -> Iterator[tuple[int, tuple[int, ...]] | None]:
     """Undominated fillings of ``room`` as (waste, lengths), all of them in the end: found ``batch`` steps at a time, each batch the
     least waste first, None for a batch that found nothing. A batch ends early with a filling without waste.
 
     ``sizes`` are the lengths at hand in falling order; the search may change them and ``counts`` between two fillings if it puts them back.
     A filling is dominated when one of its lengths can give way to a longer one at hand that still fits, or when anything more fits.
     """
-    looked, found = 0, []
+    looked, found, effort = 0, [], effort or Effort(1 << 60)
 
     def first_fit(limit: int) -> int:
         return len(sizes) - bisect_left(sizes[::-1], limit + 1)
 
     stack: list[tuple[int, int, tuple[int, ...]]] = [(first_fit(room), room, ())]
-    while stack:
+    while stack and effort.left > 0:
         i, left, chosen = stack.pop()
         looked += 1
+        effort.left -= 1
         while i < len(sizes) and chosen.count(sizes[i]) >= counts[sizes[i]]:
             i += 1
         if i == len(sizes) or not left:
@@ -159,12 +169,12 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, batch: int = F
     yield from sorted(found)
 
 
-def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def complete_bins(lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
     """Bin completion: around the longest length left, try undominated fillings, the least waste of a batch first.
 
     Best fit decreasing is the first incumbent. Waste may not exceed what one bin fewer than the incumbent allows; a
     branch beyond that is cut, and no other. Fillings are enumerated as they are asked for. The search goes depth first and ends at
-    the lower bound, when all is tried, or after ``nodes`` fillings.
+    the lower bound, when all is tried, or after ``steps`` steps of enumeration.
     """
     lengths = sorted(lengths, reverse=True)
     best, total = best_fit(lengths, capacity), sum(lengths)
@@ -174,7 +184,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
     counts: dict[int, int] = {}
     for x in lengths:
         counts[x] = counts.get(x, 0) + 1
-    sizes, looked = sorted(counts, reverse=True), 0
+    sizes, effort = sorted(counts, reverse=True), Effort(steps)
 
     def take(chosen: tuple[int, ...], sign: int) -> None:
         for x in chosen:
@@ -185,29 +195,25 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
             elif sign < 0 and had == 0:
                 insort(sizes, x, key=lambda y: -y)
 
-    while len(best) > bound and looked < nodes:
+    while len(best) > bound and effort.left > 0:
         allowed = (len(best) - 1) * capacity - total
         bins: list[tuple[int, ...]] = []
         levels: list[tuple[int, Iterator[tuple[int, tuple[int, ...]] | None], int]] = []  # first, fillings left to try, waste so far
         waste, solved = 0, False
-        while looked < nodes:
+        while effort.left > 0 or not sizes:
             if not sizes:
                 solved = True
                 break
             first = sizes[0]
-            levels.append((first, fillings(sizes, counts, capacity - first), waste))
-            while levels and looked < nodes:
+            levels.append((first, fillings(sizes, counts, capacity - first, effort=effort), waste))
+            option = None
+            while levels and effort.left > 0:
                 first, options, waste = levels[-1]
                 take((first,), 1)  # the first is taken while its fillings are enumerated
-                option = None
-                for filling in options:
-                    looked += 1
-                    if filling and waste + filling[0] <= allowed:
-                        option = filling[1]
-                    if option is not None or looked >= nodes:
-                        break
+                # Batches without a filling that wastes little enough give way to the next.
+                option = next((f[1] for f in options if f and waste + f[0] <= allowed), None)
                 take((first,), -1)
-                if option is not None or looked >= nodes:
+                if option is not None:
                     break
                 levels.pop()
                 if bins and levels:
