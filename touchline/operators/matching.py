@@ -5,8 +5,11 @@ until no pair reaches the threshold. It is reached without writing out all pairs
 
 1. names joined by a fixed alias;
 2. names equal after normalisation, the only pairs with score 1, zipped by rank;
-3. for what is left, pairs that share a token, or share enough letters for the character ratio to reach
-   the threshold (a prefix index over letters), followed by rounds that keep mutual best pairs.
+3. for what is left, level by level of falling thresholds: pairs that share a token, or share enough letters for the
+   character ratio to reach the level (a prefix index over letters), followed by rounds that keep mutual best pairs.
+
+Pairs at or above a level are all taken before any below it, so names that have found their partner never meet the weaker
+candidates, which are the many: at 0.40 the letter index lets most pairs of a block through.
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from touchline.functions.names import ALIASES, name_similarity, normalize_names
+from touchline.functions.names import ALIASES, name_similarity, normalize_names, token_jaccard
 from touchline.operators.ordering import dense_index
 from touchline.session import materialize
 
+#: Scores at which a level ends, besides the threshold itself.
+LEVELS = (0.6,)
+
 # Letters from rare to common; any fixed order is right, this one makes the index selective.
 _RANK = {c: i for i, c in enumerate("0123456789qxjzwkvfybhgpmucdltoirnsae")}
 
@@ -69,7 +75,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], thr
     reach = 2.0 * shared / (F.size("l_letters") + F.size("r_letters")) >= threshold - 1e-12
     by_letters = meet("prefix").where(reach)
     by_token = meet("tokens").where(
-        ~(F.arrays_overlap("l_prefix", "r_prefix") & reach))
+        ~(F.arrays_overlap("l_prefix", "r_prefix") & reach) & (token_jaccard("l_tokens", "r_tokens") >= threshold - 1e-12))
     return by_letters.unionByName(by_token)
 
 
@@ -133,10 +139,21 @@ def match_names(left: DataFrame, right: DataFrame, block: Sequence[str], thresho
         return reduce(DataFrame.unionByName, found)
 
     rest = _without(names, equal, block)
-    scored = candidate_pairs(rest.where("is_left"), rest.where("NOT is_left"), block, threshold).select(
+    for level in [*[x for x in LEVELS if x > threshold], threshold]:
+        rest = materialize(rest)
+        taken = _level(rest, block, level)
+        found += taken
+        if taken:
+            rest = _without(rest, reduce(DataFrame.unionByName, taken), block)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _level(names: DataFrame, block: list[str], level: float) -> list[DataFrame]:
+    """Pairs that reach the level, the best free pair first: mutual best pairs, round by round."""
+    scored = candidate_pairs(names.where("is_left"), names.where("NOT is_left"), block, level).select(
         *block, F.col("l_name").alias("left_name"), F.col("r_name").alias("right_name"),
         name_similarity("l_tokens", "l_joined", "r_tokens", "r_joined").alias("score"))
-    open_pairs = materialize(scored.where(F.col("score") >= threshold))
+    open_pairs, taken = materialize(scored.where(F.col("score") >= level)), []
     while not open_pairs.isEmpty():
         best_l = open_pairs.groupBy(*block, "left_name").agg(
             F.min(F.struct((-F.col("score")).alias("s"), "right_name")).alias("b")
@@ -145,11 +162,11 @@ def match_names(left: DataFrame, right: DataFrame, block: Sequence[str], thresho
             F.min(F.struct((-F.col("score")).alias("s"), "left_name")).alias("b")
         ).select(*block, "b.left_name", "right_name")
         mutual = materialize(_take(best_l.join(best_r, [*block, "left_name", "right_name"]), block))
-        found.append(mutual)
+        taken.append(mutual)
         open_pairs = materialize(
             open_pairs.join(mutual, [*block, "left_name"], "left_anti")
             .join(mutual, [*block, "right_name"], "left_anti"))
-    return reduce(DataFrame.unionByName, found)
+    return taken
 
 
 def event_name_map(stats: DataFrame, teams: DataFrame, threshold: float = 0.40) -> DataFrame:

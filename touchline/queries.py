@@ -359,7 +359,7 @@ def name_candidates(spark, sf):
     n = view(spark, sf, "v_names")
     left, right = (normalize_names(n.select("block", F.col(c).alias("name")).distinct(), "name")
                    for c in ("left_name", "right_name"))
-    return matching.candidate_pairs(left, right, ["block"], 0.8).select("block", "l_name", "r_name")
+    return matching.candidate_pairs(left, right, ["block"], CFG.name_threshold).select("block", "l_name", "r_name")
 
 
 @query
