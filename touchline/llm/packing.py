@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -40,10 +41,16 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # lower-cased words may spell a special token that the text does not hold
-        self.marked = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("special tokens that take in what stands beside them are not supported")
+        #: Special tokens by their strings; no word has a line end, so theirs are free for their places among the words.
+        self.special = {t.content: f"\n{i}" for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.places = {f"\n{i}": array("I", [i]).tobytes() for i in added}
+        self.known: dict[str, bytes] = dict(self.places)
 
     def _learn(self, new: set[str]) -> None:
         """Encode words: those that are letters and one mark are their letters' ids and the mark's."""
@@ -54,22 +61,27 @@ class WordIds:
         for word in marked:
             self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
 
+    def _words(self, text: str) -> list[str]:
+        if self.cut and any(mark in text for mark in self.special):
+            parts = self.cut.split(text)
+            return [w for i, part in enumerate(parts) for w in ([self.special[part]] if i % 2 else self._plain(part))]
+        return self._plain(text)
+
+    @staticmethod
+    def _plain(text: str) -> list[str]:
+        return text.encode().lower().decode().replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, each followed by the end id.
 
-        A-Z are lower-cased first, as the tokenizer does too, which makes more words alike. Texts that hold the string of a special
-        token are left to the tokenizer as they are: it gives that token.
+        A-Z are lower-cased first, as the tokenizer does too, which makes more words alike. Strings of special tokens part the text
+        before that, and are those tokens, as the tokenizer has it.
         """
-        held = {i for i, t in enumerate(texts) if any(m in t for m in self.marked)}
-        if held:
-            plain = iter(self.encode([t for i, t in enumerate(texts) if i not in held]))
-            return [array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() + END if i in held else next(plain)
-                    for i, t in enumerate(texts)]
-        words = [t.encode().lower().decode().replace("\n", " ").split(" ") for t in texts]
+        words = [self._words(t) for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = set().union(*words)
+            self.known = dict(self.places)
+            new = set().union(*words).difference(self.known)
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, w)) + END for w in words]
