@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -80,6 +84,19 @@ STATE_OUTPUT = (
 _TEAM = "elo double, gf double, ga double, pts double, played long"
 _PENDING = "date timestamp, game string, game_id string, home_team string, away_team string, home_goals long, away_goals long"
 _FIELDS = ["date", "game", "game_id", "home_team", "away_team", "home_goals", "away_goals"]
+_DATE = pa.timestamp("us")
+_WAITING = pa.schema(list(zip(_FIELDS, [_DATE, *[pa.large_string()] * 4, pa.int64(), pa.int64()])))
+#: Rows that are Python objects at a time.
+CHUNK = 10_000
+Match = namedtuple("Match", _FIELDS)
+
+
+def _arrow(rows: pd.DataFrame) -> pa.Table:
+    return pa.Table.from_pandas(rows[_FIELDS], _WAITING, preserve_index=False)
+
+
+def _tuples(rows: pa.Table) -> Iterator[Match]:
+    return map(Match._make, zip(*(c.to_pylist() for c in rows.columns)))
 
 
 class TeamState(StatefulProcessor):
@@ -88,11 +105,11 @@ class TeamState(StatefulProcessor):
     Rows wait in a buffer until the newest date seen lies ``delay_days`` past them and are then handled
     in (date, game, game_id) order: a played match is emitted with the state before it and folded in, an
     unplayed fixture reads the state and changes nothing. A row older than what has been handled comes
-    out with status 'late' for a side table.
+    out with status 'late' for a side table. Each call reads a team's state once and writes it once; rows stay in Arrow until their turn.
     """
 
     def __init__(self, cfg: FeatureConfig, delay_days: float) -> None:
-        self.cfg, self.delay = cfg, pd.Timedelta(days=delay_days)
+        self.cfg, self.delay = cfg, timedelta(days=delay_days)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.teams = handle.getMapState("teams", "team string", _TEAM)
@@ -100,61 +117,75 @@ class TeamState(StatefulProcessor):
         self.times = handle.getValueState("times", "newest timestamp, handled timestamp")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat([r[_FIELDS] for r in rows], ignore_index=True)
-        newest, handled = self.times.get() if self.times.exists() else (pd.NaT, pd.NaT)
-        late = arrived["date"] <= handled if handled is not pd.NaT else pd.Series(False, index=arrived.index)
-        out = [self._row(key[0], r, "late") for r in arrived[late].itertuples(index=False)]
-        waiting = [tuple(r) for r in self.pending.get()] + [tuple(r) for r in arrived[~late].itertuples(index=False)]
-        newest = max([t for t in (newest, *(w[0] for w in waiting)) if t is not pd.NaT], default=pd.NaT)
-        ready = sorted(w for w in waiting if pd.Timestamp(w[0]) <= pd.Timestamp(newest) - self.delay)
-        for w in ready:
-            out.append(self._handle(key[0], dict(zip(_FIELDS, w))))
-        left = waiting if not ready else [w for w in waiting if pd.Timestamp(w[0]) > pd.Timestamp(newest) - self.delay]
-        if left:
-            self.pending.put([self._plain(w) for w in left])
+        newest, handled = self.times.get() if self.times.exists() else (None, None)
+        waiting = [_arrow(pd.DataFrame([tuple(w) for w in self.pending.get()], columns=_FIELDS))]
+        for chunk in rows:
+            arrived = _arrow(chunk)
+            if handled is not None:
+                late = pc.fill_null(pc.less_equal(arrived["date"], pa.scalar(handled, _DATE)), False)
+                if pc.any(late).as_py():
+                    yield self._frame([self._row(key[0], r, "late") for r in _tuples(arrived.filter(late))])
+                    arrived = arrived.filter(pc.invert(late))
+            waiting.append(arrived)
+        rest = pa.concat_tables(waiting).combine_chunks()
+        newest = max([t for t in (newest, pc.max(rest["date"]).as_py()) if t is not None], default=None)
+        if newest is not None:
+            due = pc.fill_null(pc.less_equal(rest["date"], pa.scalar(newest - self.delay, _DATE)), False)
+            ready = rest.filter(due)
+            if ready.num_rows:
+                rest = rest.filter(pc.fill_null(pc.invert(pc.or_(due, pc.is_null(rest["date"]))), False))
+                order = pc.sort_indices(ready, sort_keys=[(f, "ascending") for f in _FIELDS])
+                handled = ready["date"][order[-1].as_py()].as_py()
+                teams: dict[str, tuple] = {}
+                changed: set[str] = set()
+                for start in range(0, len(order), CHUNK):
+                    yield self._frame([self._handle(key[0], r, teams, changed) for r in _tuples(ready.take(order[start:start + CHUNK]))])
+                for name in changed:
+                    self.teams.updateValue((name,), teams[name])
+        if rest.num_rows:
+            self.pending.put([tuple(r) for r in _tuples(rest)])
         else:
             self.pending.clear()
-        if newest is not pd.NaT:
-            last = ready[-1][0] if ready else handled
-            self.times.update((pd.Timestamp(newest).to_pydatetime(),
-                               None if last is pd.NaT or last is None else pd.Timestamp(last).to_pydatetime()))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in STATE_OUTPUT.split(", ")])
+        if newest is not None:
+            self.times.update((newest, handled))
 
     @staticmethod
-    def _plain(w: tuple) -> tuple:
-        goals = [None if g is None or pd.isna(g) else int(g) for g in w[5:]]
-        return (pd.Timestamp(w[0]).to_pydatetime(), *w[1:5], *goals)
+    def _frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[f.split()[0] for f in STATE_OUTPUT.split(", ")])
 
     def _team(self, name: str) -> tuple:
         return tuple(self.teams.getValue((name,))) if self.teams.containsKey((name,)) else (
             self.cfg.elo_base, None, None, None, 0)
 
-    def _row(self, group: str, r, status: str, home=(None,) * 5, away=(None,) * 5) -> tuple:
+    def _row(self, group: str, r: Match, status: str, home=(None,) * 5, away=(None,) * 5) -> tuple:
         def form(t):
             return [0.0 if v is None else v for v in t[1:4]] if t[0] is not None else [None] * 3
 
         return (group, r.game_id, r.home_team, r.away_team, status, home[0], away[0],
                 *form(home), home[4], *form(away), away[4])
 
-    def _handle(self, group: str, row: dict) -> tuple:
-        r = pd.Series(row)
-        home, away = self._team(r.home_team), self._team(r.away_team)
-        played = not (pd.isna(r.home_goals) or pd.isna(r.away_goals))
-        out = self._row(group, r, "played" if played else "fixture", home, away)
+    def _handle(self, group: str, r: Match, teams: dict[str, tuple], changed: set[str]) -> tuple:
+        """The row's output; ``teams`` holds the states read so far in this call, ``changed`` those to be written."""
+        for name in (r.home_team, r.away_team):
+            if name not in teams:
+                teams[name] = self._team(name)
+        home, away = teams[r.home_team], teams[r.away_team]
+        played = r.home_goals is not None and r.away_goals is not None
         if played:
-            h, a = int(r.home_goals), int(r.away_goals)
+            h, a = r.home_goals, r.away_goals
             score = 1.0 if h > a else 0.5 if h == a else 0.0
             expected = 1.0 / (1.0 + 10.0 ** ((away[0] - home[0]) / 400.0))
-            self._fold(r.home_team, home, self.cfg.elo_k * (score - expected), h, a)
-            self._fold(r.away_team, away, self.cfg.elo_k * ((1.0 - score) - (1.0 - expected)), a, h)
-        return out
+            teams[r.home_team] = self._folded(home, self.cfg.elo_k * (score - expected), h, a)
+            teams[r.away_team] = self._folded(away, self.cfg.elo_k * ((1.0 - score) - (1.0 - expected)), a, h)
+            changed.update((r.home_team, r.away_team))
+        return self._row(group, r, "played" if played else "fixture", home, away)
 
-    def _fold(self, name: str, old: tuple, change: float, scored: int, conceded: int) -> None:
+    def _folded(self, old: tuple, change: float, scored: int, conceded: int) -> tuple:
         points = 3.0 if scored > conceded else 1.0 if scored == conceded else 0.0
         q = self.cfg.ema_alpha
         emas = [float(x) if was is None else float(x) * q + was * (1.0 - q)
                 for was, x in zip(old[1:4], (scored, conceded, points))]
-        self.teams.updateValue((name,), (old[0] + change, *emas, old[4] + 1))
+        return (old[0] + change, *emas, old[4] + 1)
 
     def close(self) -> None:
         pass
