@@ -123,3 +123,34 @@ def test_extreme_values_equal_the_fold(spark, monkeypatch, fade, alpha):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     for r in ema_prior(df, ["key"], ["pos"], "y", alpha).collect():
         assert same(r.ema, want[r.key][r.pos]), (r.key, r.pos)
+
+
+def test_rows_are_dealt_by_block_and_keep_names_what_comes_out(spark, monkeypatch):
+    """No window and no shuffle by key: one team that plays everything is dealt like any other."""
+    monkeypatch.setattr(rolling, "FADE", 9.0)
+    monkeypatch.setattr(rolling, "SPANS", 1)
+    monkeypatch.setattr(rolling, "FAN", 3)
+    rows = rows_for(7, (("a", 500), ("b", 500)))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = prior_states(df, ["key"], ["pos"], [Trackers({"ey": "y"}, "ny")], ("at", "prev", 2), keep=("key", "pos"))
+    assert out.columns == ["key", "pos", "ey", "ny", "prev_1", "prev_2"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapCoGroupsInArrow" in plan
+    for key in "ab":
+        mine = sorted(r for r in rows if r[0] == key)
+        got = {r.pos: r for r in out.where(F.col("key") == key).collect()}
+        assert all(same(got[r[1]].ey, want) for r, want in zip(mine, fold([r[3] for r in mine], 0.2)))
+        assert got[499].prev_1 == mine[498][5] and got[499].prev_2 == mine[497][5]
+
+
+def test_many_keys_on_one_order_number(spark, monkeypatch):
+    monkeypatch.setattr(rolling, "FADE", 1.0)
+    monkeypatch.setattr(rolling, "SPANS", 1)
+    rows = [(f"k{k}" if k else None, i, k + i, float(k + i), True, START) for k in range(60) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.key, r.pos): r for r in prior_states(df, ["key"], ["pos"], [Trackers({"e": "y"}, "n")]).collect()}
+    assert len(got) == len(rows)
+    for k in range(60):
+        for i, want in enumerate(fold([float(k + i) for i in range(12)], 0.2)):
+            r = got[f"k{k}" if k else None, i]
+            assert r.n == i and same(r.e, want)
