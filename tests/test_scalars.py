@@ -85,3 +85,12 @@ def test_temperature_and_pick(spark):
     warm = [tuple(r) for r in df.select(*apply_temperature(("h", "d", "a"), 2.0)).collect()]
     assert abs(sum(warm[1]) - 1) < 1e-12 and warm[1][2] == max(warm[1]) and warm[1][0] > 0
     assert [tuple(r) for r in df.select(pick("h", "d", "a"), pick("h", "d", "a", 3.0)).collect()] == [(0, 1), (2, 1)]
+
+
+def test_date_rewriting_stands_outside_the_generated_method(spark):
+    """In line it made a method too long for the JVM to compile, 4 times as slow for plain dates."""
+    rows = [("2024-01-02",), ("20240102T0304",), ("2024-01-02T03:04:05+02:00",), ("TBD",), (None,)]
+    df = spark.createDataFrame(rows, "d string").repartition(1).select(sc.coerce_date("d").alias("t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" in plan
+    assert [str(r.t) for r in df.collect()] == ["2024-01-02 00:00:00", "2024-01-02 03:04:00", "2024-01-02 01:04:05", "None", "None"]
