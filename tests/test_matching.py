@@ -8,6 +8,7 @@ import unicodedata
 import pytest
 
 from touchline.functions.names import ALIASES, STOPWORDS, normalize_names
+from touchline.operators import matching
 from touchline.operators.matching import candidate_pairs, match_names
 
 
@@ -75,3 +76,19 @@ def test_below_threshold_stays_unmapped(spark):
     left = spark.createDataFrame([("b", "qqq"), ("b", "FC")], "block string, left_name string")
     right = spark.createDataFrame([("b", "zzz"), ("b", "AFC")], "block string, right_name string")
     assert match_names(left, right, ["block"]).isEmpty()
+
+
+def test_letters_are_worked_out_once(spark, monkeypatch):
+    """Scoring needs one Python worker a task: the letters of both sides are read, not worked out again on each branch and level."""
+    seen, indexed = [], matching._indexed
+
+    def watched(names, threshold):
+        seen.append("letters" in names.columns)
+        return indexed(names, threshold)
+
+    monkeypatch.setattr(matching, "_indexed", watched)
+    left = spark.createDataFrame([(1, "Alpha Beta"), (1, "Gamma Delta"), (2, "Omega")], "b int, left_name string")
+    right = spark.createDataFrame([(1, "Alpha Betta"), (1, "Gama Delta"), (2, "Zzz")], "b int, right_name string")
+    got = {(r.left_name, r.right_name) for r in matching.match_names(left, right, ["b"]).collect()}
+    assert got == {("Alpha Beta", "Alpha Betta"), ("Gamma Delta", "Gama Delta")}
+    assert seen and all(seen)
