@@ -87,8 +87,8 @@ def test_letters_are_worked_out_once(spark, monkeypatch):
         return indexed(names, threshold)
 
     monkeypatch.setattr(matching, "_indexed", watched)
-    left = spark.createDataFrame([(1, "Alpha Beta"), (1, "Gamma Delta"), (2, "Omega")], "b int, left_name string")
-    right = spark.createDataFrame([(1, "Alpha Betta"), (1, "Gama Delta"), (2, "Zzz")], "b int, right_name string")
-    got = {(r.left_name, r.right_name) for r in matching.match_names(left, right, ["b"]).collect()}
+    left = spark.createDataFrame([(1, "Alpha Beta"), (1, "Gamma Delta"), (2, "Omega")], "block int, left_name string")
+    right = spark.createDataFrame([(1, "Alpha Betta"), (1, "Gama Delta"), (2, "Zzz")], "block int, right_name string")
+    got = {(r.left_name, r.right_name) for r in matching.match_names(left, right, ["block"]).collect()}
     assert got == {("Alpha Beta", "Alpha Betta"), ("Gamma Delta", "Gama Delta")}
     assert seen and all(seen)
