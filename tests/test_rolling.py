@@ -154,3 +154,22 @@ def test_many_keys_on_one_order_number(spark, monkeypatch):
         for i, want in enumerate(fold([float(k + i) for i in range(12)], 0.2)):
             r = got[f"k{k}" if k else None, i]
             assert r.n == i and same(r.e, want)
+
+
+def test_only_asked_rows_come_out_with_their_whole_history(spark):
+    rows = spark.range(9000).select(F.col("id").alias("at"), (F.col("id") % 3).cast("string").alias("k"), F.rand(4).alias("v"), (F.col("id") >= 8990).alias("asked"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    tracked = [Trackers({"e": "v"}, "n", 0.9)]
+    whole = {r.at: r for r in prior_states(rows, ["k"], ["at"], tracked).collect()}
+    some = prior_states(rows, ["k"], ["at"], tracked, only="asked").collect()
+    assert 10 <= len(some) < 5000 and {r.at for r in some if r.asked} == set(range(8990, 9000))
+    assert all(r == whole[r.at] for r in some)
+
+
+def test_a_run_of_blocks_is_folded_once(spark, monkeypatch):
+    """Each block is put together with what came before it one time, not once for every later block of its run."""
+    plans, written = [], rolling.materialize
+    monkeypatch.setattr(rolling, "materialize", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or written(df))
+    rows = spark.range(40).select(F.col("id").alias("at"), F.lit("a").alias("k"), F.lit(1.0).alias("v"))
+    assert prior_states(rows, ["k"], ["at"], [Trackers({"e": "v"}, "n", 0.9)]).count() == 40
+    assert not any("slice(l#" in p for p in plans)
